@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rowloom.llm import quality_mcd
+from rowloom.llm import minmax_dedup, quality_mcd
 
-MODULES = [quality_mcd]
+MODULES = [minmax_dedup, quality_mcd]
 
 
 def queries() -> dict:
