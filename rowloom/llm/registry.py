@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rowloom.llm import minmax_dedup, quality_mcd
+from rowloom.llm import external_shuffle, minmax_dedup, quality_mcd, topk_search
 
-MODULES = [minmax_dedup, quality_mcd]
+MODULES = [topk_search, minmax_dedup, external_shuffle, quality_mcd]
 
 
 def queries() -> dict:
