@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rowloom.llm import external_shuffle, minmax_dedup, piece_codec, pii_boost, quality_mcd, source_mixing, topk_search, toxic_subwords
+from rowloom.llm import external_shuffle, license_scan, minmax_dedup, piece_codec, pii_boost, quality_mcd, source_mixing, topk_search, toxic_subwords
 
-MODULES = [topk_search, source_mixing, minmax_dedup, external_shuffle, quality_mcd, toxic_subwords, piece_codec, pii_boost]
+MODULES = [topk_search, license_scan, source_mixing, minmax_dedup, external_shuffle, quality_mcd, toxic_subwords, piece_codec, pii_boost]
 
 
 def queries() -> dict:
