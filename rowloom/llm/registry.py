@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from rowloom.llm import external_shuffle, license_scan, minmax_dedup, piece_codec, pii_boost, quality_mcd, source_mixing, topk_search, toxic_subwords
+from rowloom.llm import (
+    external_shuffle,
+    license_scan,
+    minmax_dedup,
+    pii_boost,
+    piece_codec,
+    quality_mcd,
+    source_mixing,
+    topk_search,
+    toxic_subwords,
+    url_templates,
+)
 
-MODULES = [topk_search, license_scan, source_mixing, minmax_dedup, external_shuffle, quality_mcd, toxic_subwords, piece_codec, pii_boost]
+MODULES = [
+    topk_search,
+    license_scan,
+    url_templates,
+    source_mixing,
+    minmax_dedup,
+    external_shuffle,
+    quality_mcd,
+    toxic_subwords,
+    piece_codec,
+    pii_boost,
+]
 
 
 def queries() -> dict:
