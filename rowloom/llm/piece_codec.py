@@ -190,7 +190,7 @@ def _codec(table, key: str) -> PieceCodec:
     """The worker process's codec for a broadcast table: what it remembers serves later tasks too."""
     memo = sys.modules.setdefault("_rowloom_codecs", types.ModuleType("_rowloom_codecs")).__dict__
     if memo.get("key") != key:
-        memo["key"], memo["codec"] = key, PieceCodec(table.value)
+        memo["key"], memo["codec"] = key, PieceCodec(PieceTable(**table.value))
     return memo["codec"]
 
 
@@ -199,7 +199,7 @@ _ENCODED = "doc_id long, n_tokens long, ids array<int>, exact boolean"
 
 def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
-    table = docs.sparkSession.sparkContext.broadcast(PieceTable.read(model))
+    table = docs.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_
 
 def decode_documents(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
-    table = encoded.sparkSession.sparkContext.broadcast(PieceTable.read(model))
+    table = encoded.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
