@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import discard, load, stored
+from rowloom.llm._shared import discard, if_small, load, stored
 
 #: 12 + 12 bands of 6 values: a pair of similarity 0.85 is missed with probability 1e-5.
 PERMUTATIONS, BAND_ROWS = 72, 6
@@ -123,23 +123,27 @@ def _sign(width: int):
     return run
 
 
-_VERIFIED = "a long, b long, inter long, total long"
+#: a and b with the sizes of their sets, and the hashes that only a or only b has.
+_VERIFIED = "a long, b long, n_a long, n_b long, lacks array<long>, more array<long>"
 
 
 def _compare(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, last, pivot = _WordHashes(), None, None
         for batch in batches:
-            inter, total = [], []
+            sizes, lacks, more = [], [], []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:
                     last, pivot = a, shingle_set(ta.as_py(), words_of, width)
                 other = shingle_set(tb.as_py(), words_of, width)
-                both = len(np.intersect1d(pivot, other, assume_unique=True))
-                inter.append(both)
-                total.append(len(pivot) + len(other) - both)
+                sizes.append((len(pivot), len(other)))
+                lacks.append(np.setdiff1d(pivot, other, assume_unique=True).view(np.int64))
+                more.append(np.setdiff1d(other, pivot, assume_unique=True).view(np.int64))
+            na, nb = (pa.array([n[k] for n in sizes], pa.int64()) for k in (0, 1))
+            hashes = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"]
+                [batch.column(0), batch.column(1), na, nb, pa.array(lacks, hashes), pa.array(more, hashes)],
+                ["a", "b", "n_a", "n_b", "lacks", "more"],
             )
 
     return run
@@ -188,7 +192,7 @@ class _Linker:
         return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, a_th, b, b_th.  Returns a, b, inter, total."""
+        """pairs: a, a_th, b, b_th.  Returns the columns of _VERIFIED."""
         pairs = stored(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("id"), F.col("a_th").alias("th")).unionByName(
             pairs.select(F.col("b").alias("id"), F.col("b_th").alias("th"))
@@ -204,7 +208,8 @@ class _Linker:
         return out
 
     def links(self, verified: DataFrame) -> DataFrame:
-        return verified.where(F.col("inter") * 100 >= F.col("total") * self.percent).select("a", "b")
+        both = F.col("n_b") - F.size("more")
+        return verified.where(both * 100 >= (F.col("n_a") + F.size("more")) * self.percent).select("a", "b")
 
 
 def _classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -214,63 +219,111 @@ def _classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     live = sig.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "th", "n_shingles", "bands")).alias("r")
     reps = stored(live.groupBy("set_key").agg(first).select("set_key", "r.*"), "representatives")
-    banded = reps.select(F.explode("bands").alias("key"), F.struct("doc_id", "th", "n_shingles").alias("r"))
-    order = F.struct(F.xxhash64("r.doc_id").alias("o"), F.col("r"))
-    buckets = banded.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("m"), F.min(order)["r"].alias("p"))
-    buckets = stored(buckets.where("m > 1").select("bucket", "p"), "buckets")
-    members = stored(banded.join(buckets, banded["key"] == buckets["bucket"]).select("key", "r", "p"), "members")
+    banded = reps.select(F.explode("bands").alias("key"), "doc_id", "th", "n_shingles")
+    buckets = banded.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("m"))
+    buckets = stored(buckets.where("m > 1"), "buckets")
+    found = banded.join(if_small(buckets), banded["key"] == buckets["bucket"])
+    found = stored(found.select("key", F.col("doc_id").alias("id"), "th", F.col("n_shingles").alias("n"), "m"), "found")
     discard(buckets)
+    central = stored(found.groupBy(F.col("id").alias("c_id")).agg(F.sum("m").alias("central")), "central")
+    found = found.join(central, found["id"] == central["c_id"]).select("key", "id", "th", "n", "central")
+    members = stored(found, "members")
+    first = F.max(F.struct("central", (-F.col("id")).alias("o"), "id", "th", "n")).alias("p")
+    pivots = stored(members.groupBy(F.col("key").alias("bucket")).agg(first).select("bucket", F.struct("p.id", "p.th", "p.n").alias("p")), "pivots")
+    members = members.join(if_small(pivots), members["key"] == pivots["bucket"]).drop("bucket")
+    members = stored(members, "members")
 
     linker = _Linker(keyed.withColumnRenamed("doc_id", "id"), width, percent)
-    near = members.where(linker.similar_sizes("r.n_shingles", "p.n_shingles") & (F.col("r.doc_id") != F.col("p.doc_id")))
-    star = near.select(F.col("p.doc_id").alias("a"), F.col("p.th").alias("a_th"), F.col("r.doc_id").alias("b"), F.col("r.th").alias("b_th"))
+    near = members.where(linker.similar_sizes("n", "p.n") & (F.col("id") != F.col("p.id")))
+    star = near.select(F.col("p.id").alias("a"), F.col("p.th").alias("a_th"), F.col("id").alias("b"), F.col("th").alias("b_th"))
     verified = linker.confirm(star.distinct())
-    comp = components(linker.links(verified))
-
-    rest = _unsettled(members, comp, verified, linker, percent)
-    if not rest.isEmpty():
-        more = linker.confirm(rest)
-        comp = components(linker.links(verified).unionByName(linker.links(more)))
+    edges = stored(linker.links(verified), "links")
+    comp = components(edges)
+    for step in (_more_pivots, _open_pairs):
+        open_ = _open_members(members, comp, verified)
+        if open_.isEmpty():
+            break
+        more = stored(step(open_, linker), "links")
+        edges = edges.unionByName(more)
+        comp = components(edges)
     discard(members)
     same = reps.select(F.col("set_key").alias("k"), F.col("doc_id").alias("rep"))
     nodes = same.join(comp, same["rep"] == comp["node"], "left").select("k", F.coalesce("component", "rep").alias("component"))
     return sig, stored(nodes, "components")
 
 
-def _unsettled(members: DataFrame, comp: DataFrame, verified: DataFrame, linker: _Linker, percent: int) -> DataFrame:
-    """Candidate pairs that the star links left open: buckets with several components."""
-    flat = members.select("key", F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"), F.col("r.n_shingles").alias("n"), F.col("p.doc_id").alias("pivot"))
-    known = flat.join(comp, flat["id"] == comp["node"], "left").select(*flat.columns, F.coalesce("component", "id").alias("c"))
-    known = stored(known, "known")
+def _open_members(members: DataFrame, comp: DataFrame, verified: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component (c), the
+    bucket's largest one (main), and their differences from the bucket's pivot (null
+    where sizes ruled the comparison out)."""
+    known = members.join(comp, members["id"] == comp["node"], "left")
+    known = stored(known.select("key", "id", "th", "n", "central", "p", F.coalesce("component", "id").alias("c")), "known")
     per = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     big = per.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("cs"), F.max(F.struct("m", "c"))["c"].alias("main"))
-    big = stored(big.where("cs > 1"), "open")
-    away = (1 - F.col("inter") / F.col("total")).alias("d")
-    d = verified.select(F.col("a").alias("va"), F.col("b").alias("vb"), away)
-    some = known.join(big, known["key"] == big["bucket"]).select(*known.columns, "main")
-    some = some.join(d, (some["pivot"] == d["va"]) & (some["id"] == d["vb"]), "left")
-    some = stored(some.select("key", "id", "th", "n", "c", "main", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "open-members")
+    big = stored(big.where("cs > 1").select("bucket", "main"), "open")
+    some = known.join(if_small(big), known["key"] == big["bucket"]).drop("bucket")
+    d = verified.select(F.col("a").alias("va"), F.col("b").alias("vb"), "lacks", "more")
+    some = some.join(d, (some["p.id"] == d["va"]) & (some["id"] == d["vb"]), "left")
+    none = F.array().cast("array<long>")
+    own = F.col("id") == F.col("p.id")
+    out = some.select(
+        "key", "id", "th", "n", "central", F.col("p.id").alias("pivot"), F.col("p.n").alias("p_n"), "c", "main",
+        F.when(own, none).otherwise(F.col("lacks")).alias("lacks"), F.when(own, none).otherwise(F.col("more")).alias("more"),
+    )
+    out = stored(out, "open-members")
     discard(known, big)
-    x = some.where("c <> main").select([F.col(k).alias(f"x_{k}") for k in some.columns])
-    y = some.select([F.col(k).alias(f"y_{k}") for k in some.columns])
-    reach = F.lit(1 - percent / 100 + 1e-9)
-    pairs = x.join(
-        y,
+    return out
+
+
+def _sides(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return x.select([F.col(k).alias(f"x_{k}") for k in x.columns]), y.select([F.col(k).alias(f"y_{k}") for k in y.columns])
+
+
+def _similar(percent: int) -> Column:
+    """Exact test of two members of a bucket, from their differences with its pivot."""
+    both = F.col("x_p_n") - F.size(F.array_union("x_lacks", "y_lacks")) + F.size(F.array_intersect("x_more", "y_more"))
+    return both * 100 >= (F.col("x_n") + F.col("y_n") - both) * percent
+
+
+def _more_pivots(members: DataFrame, linker: _Linker, k: int = 4) -> DataFrame:
+    """Links of outside members with the ``k`` most central members of the main component."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("central").desc(), "id"))
+    noted = members.where("lacks is not null")
+    tops = noted.where("c = main").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    x, y = _sides(noted.where("c <> main"), tops)
+    return x.join(y, (x["x_key"] == y["y_key"]) & _similar(linker.percent)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame, linker: _Linker) -> DataFrame:
+    """All links between members of different components of a bucket."""
+    percent = linker.percent
+    rows = members.where("lacks is not null").select("pivot", "id", "more").distinct()
+    alone = rows.select("pivot", "id", F.explode("more").alias("t")).groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"))
+    alone = alone.where("m = 1").groupBy(F.col("pivot").alias("u_p"), F.col("id").alias("u_id")).agg(F.count(F.lit(1)).alias("u"))
+    alone = stored(alone, "unshared")
+    some = members.join(if_small(alone), (members["pivot"] == alone["u_p"]) & (members["id"] == alone["u_id"]), "left")
+    away = (F.size("lacks") + F.size("more")) / (F.col("p_n") + F.size("more"))
+    some = some.withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).withColumn("d", away).drop("u_p", "u_id", "u")
+    # a member with too many shingles of its own is linked with none
+    some = stored(some.where(F.col("most") * 100 >= F.col("n") * percent), "open-rest")
+    x, y = _sides(some.where("c <> main"), some)
+    shared = F.least("x_most", "y_most")
+    may = (
         (x["x_key"] == y["y_key"])
         & (F.col("x_c") != F.col("y_c"))
         & ((F.col("y_c") == F.col("y_main")) | (F.col("x_id") < F.col("y_id")))
         & linker.similar_sizes("x_n", "y_n")
-        & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= reach, F.lit(True)),
+        & (shared * 100 >= (F.col("x_n") + F.col("y_n") - shared) * percent)
+        & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
     )
-    lower = F.col("x_id") < F.col("y_id")
-    out = pairs.select(
-        F.when(lower, F.col("x_id")).otherwise(F.col("y_id")).alias("a"),
-        F.when(lower, F.col("x_th")).otherwise(F.col("y_th")).alias("a_th"),
-        F.when(lower, F.col("y_id")).otherwise(F.col("x_id")).alias("b"),
-        F.when(lower, F.col("y_th")).otherwise(F.col("x_th")).alias("b_th"),
-    ).distinct()
-    done = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stored(out.join(done, ["a", "b"], "left_anti"), "open-pairs")
+    noted = F.col("x_lacks").isNotNull() & F.col("y_lacks").isNotNull()
+    links = x.join(y, may & noted & _similar(percent)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    bare = some.where("lacks is null").select("key").distinct()
+    if bare.isEmpty():
+        return links
+    cols = [F.col("x_id").alias("a"), F.col("x_th").alias("a_th"), F.col("y_id").alias("b"), F.col("y_th").alias("b_th")]
+    texts = x.join(y, may & ~noted).select(*cols).distinct()
+    return links.unionByName(linker.links(linker.confirm(texts)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 85) -> DataFrame:
