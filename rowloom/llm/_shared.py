@@ -46,7 +46,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def if_small(table: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def if_small(table: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """A stored table of a few numbers a row, marked for broadcast if its counted rows
     stay under ``max_rows`` (tens of megabytes); otherwise as it is, for a shuffled join."""
     return F.broadcast(table) if table.count() <= max_rows else table

@@ -198,7 +198,7 @@ class _Linker:
             pairs.select(F.col("b").alias("id"), F.col("b_th").alias("th"))
         )
         nodes = stored(nodes.distinct(), "nodes")
-        texts = self.texts.join(nodes, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+        texts = self.texts.join(if_small(nodes), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
         texts = stored(texts, "texts")
         tb = texts.select(F.col("id").alias("b"), F.col("th").alias("b_th"), F.col("text").alias("text_b"))
         ta = texts.select(F.col("id").alias("a"), F.col("th").alias("a_th"), F.col("text").alias("text_a"))
@@ -340,7 +340,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     found = stored(near_duplicates(docs, id_col=id_col, text=text, width=width, percent=percent), "near")
     gone = stored(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct(), "gone")
     on = (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_gone_th"])
-    out = docs.join(gone, on, "left_anti")
+    out = docs.join(if_small(gone), on, "left_anti")
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         named = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         out = named.unionByName(out.where(F.col(id_col).isNull()))
