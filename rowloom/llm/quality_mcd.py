@@ -28,12 +28,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from rowloom.llm._shared import discard, load, stored
 from rowloom.llm.text_stats import count_text
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 STAT_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIM = 5
 #: Fixed-point steps of a transformed statistic.
@@ -45,7 +45,7 @@ FLOORS = (0.05, 0.25, 0.2, 0.2, 0.5)
 BINS_PER_OCTAVE = 16
 
 
-@pandas_udf(STATS)
+@pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in STAT_NAMES]))
 def _stats(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([count_text(t) for t in text], columns=STAT_NAMES, dtype="int64")
 
