@@ -209,7 +209,8 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None, *, id_col: str =
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None, *, text: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets."""
+    """``docs`` with every span replaced by its kind in brackets (overlapping ones by the
+    kind of the first, of the longest if they start together)."""
     model = fit_model(docs, text=text) if model is None else model
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
     rows = _with_candidates(packed, "_text").withColumn("_found", F.when(F.size("_found") > 0, _chosen(F.col("_found"), model)))
@@ -221,7 +222,7 @@ def redact(docs: DataFrame, model: SpanModel | None = None, *, text: str = "text
         inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
 
-    by_place = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["name"].alias("name"))))
+    by_place = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("o"), s["end"].alias("end"), s["name"].alias("name"))))
     whole = F.aggregate(by_place, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
     clean = F.when(F.size("_found") > 0, whole).otherwise(F.col("_text"))
     done = rows.select("_row", clean.alias("_clean"))

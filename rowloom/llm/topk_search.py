@@ -13,7 +13,8 @@ broadcast and no task holds more than one block of either side.
 Defined cases: null vectors and vectors with null or non-finite components take no
 part, neither do rows with a null id, nor vectors of another length than the query's;
 a query never meets rows with its own id; repeated rows of a query give one list;
-repeated candidate rows are one candidate; an empty table gives an empty result;
+repeated candidate rows are one candidate; scores beyond 64 bits are ranked exactly and
+given as the nearest 64-bit number; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ FACTOR = 256
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
 #: Dimensions per block, and rows per step inside a block of candidates.
 DIMS, STEP = 16, 2048
-_EXACT = float(2**53)
+_EXACT, _LONG = float(2**53), 2**63 - 1
 
 _OUT = "query_id long, vec_id long, score long"
 
@@ -56,7 +57,7 @@ class _Best:
 def _suffix_norms(m: np.ndarray) -> np.ndarray:
     """Norm of what remains from each block of dimensions on; m is dims x rows."""
     square = np.square(m)
-    parts = [square[d:].sum(0) for d in range(0, len(m), DIMS)] + [np.zeros(m.shape[1])]
+    parts = [square[d:].sum(0) for d in range(0, max(len(m), 1), DIMS)] + [np.zeros(m.shape[1])]
     return np.sqrt(np.array(parts)) * (1 + 1e-12)
 
 
@@ -97,7 +98,7 @@ def _search(k: int):
             if n and float(np.abs(q).max()) * float(np.abs(c).max()) * n >= _EXACT:  # beyond exact doubles
                 for a, x in zip(q_ids, some["v"]):
                     scores = [(-sum(int(u) * int(w) for u, w in zip(x, y)), int(b)) for b, y in zip(c_ids, same["v"]) if b != a]
-                    found += [(int(a), b, -s) for s, b in sorted(scores)[:k]]
+                    found += [(int(a), b, max(min(-s, _LONG), -_LONG)) for s, b in sorted(scores)[:k]]
                 continue
             for a, b in zip(q_ids, search_block(q_ids, q, c_ids, c, k)):
                 found += zip([int(a)] * len(b.ids), b.ids.tolist(), b.scores.tolist())

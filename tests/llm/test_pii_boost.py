@@ -1,0 +1,116 @@
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from rowloom.llm import boosting
+from rowloom.llm import pii_boost as pb
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (2 if i % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def base(text):
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+TEXTS = [
+    "a@b.c", "x a.b+c@d-e.f.g, y@z", "a@b.c@d.e", "a@b.com_x@d.com", "a@b..c", "@a.b", "é a@b.c 漢a@b.c", "🎉🎉 me@x.org 🎉 1.2.3.4", "1.2.3.4.5", "256.1.1.1 1.256.1.1 001.002.003.004",
+    "1.2.3", "1.2.3.4 10.20.30.40", "0000000001.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "4111  1111 1111 1111", "41111111111111111111",
+    "3 4111111111111111", "+1 (555) 123-4567", "+123", "+1 2 3 4 5 6 7", "+1234567890123456", "+12345678 ", "+1-800-555-0199.", "++4 444 444 44", "+1 (826) 555 +44 20 7946 0000",
+    "9" * 4000, "1 " * 4000, "a" * 20000, "." * 5000 + "@", "1." * 4000, "+1" * 3000, "", None, "4111 1111 1111 1111 5500 0000 0000 0004",
+]
+
+
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["found"] or [] for r in pb.find_spans(df).collect()}
+
+
+def test_base_spans_match_plain_patterns(spark):
+    for i, spans in found(spark, list(enumerate(TEXTS))).items():
+        assert [(s["name"], s["start"], s["end"]) for s in spans if s["base"]] == base(TEXTS[i]), TEXTS[i][:80]
+
+
+def test_documents(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pb.op10_pii_boost(spark, sf).collect():
+        want = base(texts[r["doc_id"]])
+        n = Counter(k for k, _, _ in want)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(n[k] for k in pb.BASE)
+        assert r["base_sha256"] == hashlib.sha256(listed(want).encode()).hexdigest()
+        assert set(filter(None, listed(want).split(","))) <= set(r["spans"].split(","))
+
+
+def test_trees_find_tokens_without_cues(spark):
+    rows = [(i, f"text {i} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" end") for i in range(60)]
+    rows += [(100, f"nothing said {hashlib.sha1(b'x').hexdigest()} here"), (101, "ordinary-words-joined-by-many-dashes2 and word2word")]
+    rows += [(200 + i, f"chapter-{i}-of-the-long-story about it") for i in range(60)]
+    got = found(spark, rows)
+    assert all([s["name"] for s in got[i]] == ["secret"] for i in range(60))
+    assert not got[101] and not any(got[200 + i] for i in range(60))
+
+
+def test_redaction(spark):
+    rows = [(1, "mail me@x.org or +1 (555) 123-4567 now"), (2, "none"), (3, None), (4, "é 4111 1111 1111 1111"), (5, "1.2.3.4@5.6.7.8")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pb.redact(df).collect()}
+    assert got == {1: "mail [EMAIL] or [PHONE] now", 2: "none", 3: None, 4: "é [CARD]", 5: "[EMAIL]"}
+
+
+def test_boosting_separates_cells():
+    x = np.array([[a, b] for a in range(3) for b in range(3)])
+    n = np.full(9, 100.0)
+    pos = np.where((x[:, 0] == 2) & (x[:, 1] > 0), 98.0, 3.0)
+    trees = boosting.fit(x, n, pos)
+    s = boosting.predict(trees, x)
+    t = boosting.calibrated_threshold(s, n, pos, 0.9)
+    assert ((s >= t) == (pos > 50)).all()
+    assert boosting.calibrated_threshold(s, n, np.full(9, 3.0), 0.9) == float("inf")
+
+
+def test_tree_columns_equal_numpy(spark):
+    from pyspark.sql import functions as F
+
+    x = np.array([[a, b] for a in range(4) for b in range(4)])
+    pos = np.random.default_rng(0).integers(0, 100, 16).astype(float)
+    trees = boosting.fit(x, np.full(16, 100.0), pos)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in x], "a int, b int")
+    got = [r[0] for r in df.select(boosting.column(trees, [F.col("a"), F.col("b")])).collect()]
+    assert got == pytest.approx(boosting.predict(trees, x).tolist())
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    assert pb.find_spans(odd_docs).count() == odd_docs.count()
+    out = pb.redact(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    assert pb.find_spans(no_docs).count() == 0 and pb.redact(no_docs).count() == 0
+
+
+def test_no_python_in_the_plan(spark, sf):
+    plan = pb.op10_pii_boost(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

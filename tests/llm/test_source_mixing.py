@@ -1,0 +1,66 @@
+import pytest
+from pyspark.sql import functions as F
+
+from rowloom.llm import source_mixing as sm
+from tests.helpers import same
+
+
+def test_matches_sql(spark, sf):
+    same(sm.op4_source_mixing(spark, sf), sm.SQL["op4_source_mixing"], sf)
+
+
+def docs(spark, spec):
+    """spec: (lang, source, documents, words each)."""
+    rows = []
+    for lang, source, n, words in spec:
+        rows += [(len(rows) + i, "w " * words, lang, source) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def budgets(m):
+    return {(r["domain"], r["lang"], r["source"]): (r["budget"], r["full"], r["rest"]) for r in m.leaves.collect()}
+
+
+def test_shortage_goes_to_siblings_then_to_the_parent_s(spark):
+    df = docs(spark, [("en", "a", 10, 10), ("en", "b", 100, 10), ("de", "c", 100, 10), ("de", "d", 1, 1)])
+    m = sm.Mixture(df, share=1000 / 2101, weights={}, max_epochs=1, domain=F.lit("x"))
+    b = budgets(m)
+    # en and de get 500 each; a can give 100 only, so b gets the rest of en; d gives 1
+    assert [b[("x", *k)][0] for k in (("en", "a"), ("en", "b"), ("de", "c"), ("de", "d"))] == [100, 400, 499, 1]
+    small = docs(spark, [("en", "a", 10, 10), ("de", "c", 100, 10)])
+    b = budgets(sm.Mixture(small, share=1000 / 1100, weights={}, max_epochs=1, domain=F.lit("x")))
+    assert (b[("x", "en", "a")][0], b[("x", "de", "c")][0]) == (100, 900)
+
+
+def test_weights_and_zero_weight(spark):
+    df = docs(spark, [("en", "a", 100, 10), ("en", "b", 100, 10), ("en", "z", 100, 10)])
+    m = sm.Mixture(df, share=0.2, weights={"x/en/a": 3, "x/en/z": 0}, max_epochs=1, domain=F.lit("x"))
+    got = {r["source"]: r["t"] for r in m.selection().groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert got == {"a": 450, "b": 150}
+
+
+def test_epochs_repeat_whole_leaves_before_a_prefix(spark):
+    df = docs(spark, [("en", "a", 10, 10), ("en", "b", 1000, 10)])
+    m = sm.Mixture(df, share=500 / 10100, weights={}, max_epochs=3, domain=F.lit("x"))
+    n = {(r["source"], r["doc_id"]): r["n"] for r in m.selection().groupBy("source", "doc_id").agg(F.count("*").alias("n")).collect()}
+    a = sorted(v for (s, _), v in n.items() if s == "a")
+    assert a == [2] * 5 + [3] * 5 and sum(v for (s, _), v in n.items() if s == "b") == 25
+    assert m.documents(df).count() == sum(n.values())
+
+
+@pytest.mark.parametrize("rows", [5, 64])
+def test_prefixes_do_not_depend_on_ranges(spark, monkeypatch, rows):
+    df = docs(spark, [("en", "a", 200, 7), ("de", "b", 90, 3)])
+    pick = lambda: {(r["doc_id"], r["epoch"]) for r in sm.Mixture(df, weights={}).selection().collect()}
+    whole = pick()
+    monkeypatch.setattr(sm, "RANGE_ROWS", rows)
+    assert pick() == whole
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    m = sm.Mixture(odd_docs, share=0.9)
+    assert m.selection().where("tokens < 0").count() == 0
+    assert m.documents(odd_docs).columns == odd_docs.columns
+    assert sm.Mixture(no_docs).selection().count() == 0 and sm.Mixture(no_docs).documents(no_docs).count() == 0
+    tokens = odd_docs.select("text", sm.count_tokens(F.col("text")).alias("n")).collect()
+    assert all(r["n"] == len((r["text"] or "").encode().split()) for r in tokens)
