@@ -7,9 +7,10 @@ unseen misspellings score like the words whose n-grams they share.
 
 A text is scored by its most toxic passage of ``WINDOW`` words, so one insult in a long
 text counts like one in a short text, and whole texts are read.  Labels belong to
-texts, so training chooses, after a first round, each toxic text's most toxic passage
-as the positive example, and the most toxic passage of each other text besides random
-ones as negatives.  A final one-dimensional logistic fit calibrates the score.
+texts, so training chooses each toxic text's most toxic passage as the positive example,
+and the most toxic passage of each other text besides random ones as negatives; the
+first round takes them by the words' association with toxic texts, later ones by the
+model.  A final one-dimensional logistic fit calibrates the score.
 
 Training uses a bounded sample: at most ``per_label`` labelled texts of each label (the
 smallest hashes of their ids), with words counted over whole texts.  Scoring needs one
@@ -35,9 +36,11 @@ from rowloom.llm._shared import load
 
 BUCKETS, DIM = 1 << 17, 16
 NGRAMS = (3, 4, 5)
-WINDOW, STRIDE = 16, 8
+WINDOW, STRIDE = 8, 4
 PER_LABEL = 2000
-EPOCHS, BATCH, RATE = 7, 512, 0.3
+#: Buckets met in fewer training texts are not learned.
+MIN_TEXTS = 4
+EPOCHS, BATCH, RATE = 12, 512, 0.5
 _EDGES = string.punctuation + "«»“”„…–—¿¡"
 
 
@@ -70,6 +73,14 @@ class _Sample:
         number: dict[str, int] = {}
         self.docs = [np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.int64) for t in texts]
         grams = [subwords(w) for w in number]
+        # buckets of too few texts would only memorise them
+        df, pos = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for d, y in zip(self.docs, self.y):
+            met = list({b for w in np.unique(d) for b in grams[w]})
+            df[met] += 1
+            pos[met] += int(y)
+        grams = [[b for b in g if df[b] >= MIN_TEXTS] or [BUCKETS - 1] for g in grams]
+        self.df, self.pos = df, pos
         self.sizes = np.array([len(g) for g in grams], np.int64)
         self.flat = np.array([b for g in grams for b in g], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -79,6 +90,20 @@ class _Sample:
             return np.empty(0)
         return np.add.reduceat(bucket_values[self.flat], self.starts[:-1]) / self.sizes
 
+    def first_values(self) -> np.ndarray:
+        """How surely each word has a bucket of toxic texts: its buckets' greatest z-score.
+
+        Log odds of document counts with a prior, over their standard error; below 2
+        nothing is sure.
+        """
+        n1 = self.y.sum()
+        n0 = len(self.y) - n1
+        prior = 10 * n1 / (n1 + n0)
+        a, b = self.pos + prior, self.df - self.pos + 10 - prior
+        z = (np.log(a / (n1 - self.pos + 10)) - np.log(b / (n0 - self.df + self.pos + 10))) / np.sqrt(1 / a + 1 / b)
+        z = np.where(z > 2, z, 0.0)
+        return np.maximum.reduceat(z[self.flat], self.starts[:-1]) if len(self.flat) else np.empty(0)
+
     def rows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the given words, one after another, and the position of each one's word."""
         n = self.sizes[words]
@@ -110,15 +135,12 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
     live = [i for i, d in enumerate(data.docs) if len(d)]
     for epoch in range(EPOCHS):
         picks: list[tuple[np.ndarray, float]] = []
-        values = data.word_values(emb @ (soft[1] - soft[0]))
+        values = data.first_values() if epoch == 0 else data.word_values(emb @ (soft[1] - soft[0]))
         for i in live:
             d = data.docs[i]
             a, b = windows(len(d))
-            if epoch == 0:
-                use = rng.choice(len(a), min(len(a), 8), replace=False)
-            else:
-                top = int(passage_scores(values[d]).argmax())
-                use = [top] if data.y[i] else {top, *rng.integers(0, len(a), 2).tolist()}
+            top = int(passage_scores(values[d]).argmax())
+            use = [top] if data.y[i] else {top, *rng.integers(0, len(a), 2).tolist()}
             picks += [(d[a[k] : b[k]], data.y[i]) for k in use]
         rng.shuffle(picks := np.array(picks, dtype=object))
         for at in range(0, len(picks), BATCH):
