@@ -46,6 +46,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most ``rows`` texts at a time.
+
+    The session's default of 10,000 rows has no useful bound in bytes when rows are
+    whole texts.  A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def if_small(table: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """A stored table of a few numbers a row, marked for broadcast if its counted rows
     stay under ``max_rows`` (tens of megabytes); otherwise as it is, for a shuffled join."""

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import ascii_lower, load, stored
+from rowloom.llm._shared import LOWER, UPPER, ascii_lower, load, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
@@ -168,5 +168,44 @@ def brute_force(text: str | None) -> tuple:
     return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({n for _, n in hits}))
 
 
+def _sql() -> str:
+    """The same result in DuckDB's SQL, by joining words instead of texts."""
+    values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+    notices = [(label, k, w) for label, (notice, _) in sorted(NOTICES.items()) for k, w in enumerate(notice.split())]
+    keys = [(label, phrase, w) for label, (_, phrases) in sorted(NOTICES.items()) for phrase in phrases for w in sorted(set(phrase.split()))]
+    base = []
+    for phrase, label in BASE.items():
+        words = phrase.split()
+        joins = " ".join(f"JOIN w w{k} ON w{k}.doc_id = w0.doc_id AND w{k}.i = w0.i + {k} AND w{k}.w = '{x}'" for k, x in enumerate(words) if k)
+        base.append(f"SELECT w0.doc_id, w0.i, '{label}' AS label FROM w w0 {joins} WHERE w0.w = '{words[0]}'")
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM t),
+b AS ({" UNION ALL ".join(base)}),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+notice(label, pos, word) AS (VALUES {values(notices)}),
+key(label, phrase, word) AS (VALUES {values(keys)}),
+df AS (SELECT w AS word, count(DISTINCT doc_id) AS n FROM w WHERE w IN (SELECT word FROM notice) GROUP BY w),
+idf AS (SELECT v.word, ln((SELECT count(*) + 1 FROM documents) / (coalesce(df.n, 0) + 1)) + 1e-3 AS idf FROM (SELECT DISTINCT word FROM notice) v LEFT JOIN df ON df.word = v.word),
+ranked AS (SELECT v.label, v.word, row_number() OVER (PARTITION BY v.label ORDER BY idf.idf DESC, v.word) AS r
+  FROM (SELECT DISTINCT label, word FROM notice) v JOIN idf ON idf.word = v.word),
+in_key AS (SELECT k.label, k.word, row_number() OVER (PARTITION BY k.label, k.phrase ORDER BY idf.idf DESC, k.word) AS r FROM key k JOIN idf ON idf.word = k.word),
+rare AS (SELECT label, word FROM ranked WHERE r <= {RARE_WORDS} UNION SELECT label, word FROM in_key WHERE r = 1),
+posting AS (SELECT n.label, n.word, n.pos, idf.idf / sum(idf.idf) OVER (PARTITION BY n.label) AS share
+  FROM notice n JOIN rare r ON r.label = n.label AND r.word = n.word JOIN idf ON idf.word = n.word),
+aligned AS (SELECT DISTINCT w.doc_id, p.label, w.i - p.pos AS place, p.pos, p.share FROM w JOIN posting p ON p.word = w.w),
+best AS (SELECT doc_id, label, max(share) AS share FROM (SELECT doc_id, label, place, sum(share) AS share FROM aligned GROUP BY ALL) GROUP BY doc_id, label),
+line AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM t),
+phrases AS (SELECT DISTINCT label, phrase FROM key),
+valid AS (SELECT best.doc_id, best.label, best.share FROM best JOIN line l ON l.doc_id = best.doc_id JOIN phrases p ON p.label = best.label
+  GROUP BY best.doc_id, best.label, best.share HAVING bool_and(contains(l.line, ' ' || p.phrase || ' '))),
+found AS (SELECT doc_id, label, share FROM valid UNION ALL SELECT doc_id, label, 0.5 FROM b),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(coalesce(base.n_base, 0) AS BIGINT) AS n_base, base.first_word, base.last_word,
+  coalesce(base.base_labels, '') AS base_labels, coalesce(labels.labels, '') AS labels, round(least(coalesce(labels.score, 0.0), 1.0), 6) AS score
+FROM t LEFT JOIN base ON base.doc_id = t.doc_id LEFT JOIN labels ON labels.doc_id = t.doc_id
+"""
+
+
 QUERIES = {"op2_license_scan": op2_license_scan}
-SQL: dict[str, str] = {}
+SQL = {"op2_license_scan": _sql()}

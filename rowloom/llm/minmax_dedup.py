@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import discard, if_small, load, stored
+from rowloom.llm._shared import LOWER, UPPER, bounded_batches, discard, if_small, load, stored
 
 #: 12 + 12 bands of 6 values: a pair of similarity 0.85 is missed with probability 1e-5.
 PERMUTATIONS, BAND_ROWS = 72, 6
@@ -54,7 +54,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -214,6 +214,7 @@ class _Linker:
 
 def _classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and (node, component) of the linked representatives."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     sig = stored(keyed.mapInArrow(_sign(width), _SIGNATURES), "signatures")
     live = sig.where("n_shingles > 0 and doc_id is not null")
@@ -352,4 +353,18 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_minmax_dedup": op5_minmax_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_minmax_dedup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * i.k >= 85 * (x.k + y.k - i.k)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+}

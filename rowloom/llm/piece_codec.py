@@ -23,9 +23,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
-import types
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import load
+from rowloom.llm._shared import bounded_batches, load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_REMEMBER = 400_000
+_REMEMBER = 300_000
 
 
 class PieceTable:
@@ -186,24 +183,16 @@ class PieceCodec:
         return text[1:] if self.t.prefix and text.startswith(" ") else text
 
 
-def _codec(table, key: str) -> PieceCodec:
-    """The worker process's codec for a broadcast table: what it remembers serves later tasks too."""
-    memo = sys.modules.setdefault("_rowloom_codecs", types.ModuleType("_rowloom_codecs")).__dict__
-    if memo.get("key") != key:
-        memo["key"], memo["codec"] = key, PieceCodec(PieceTable(**table.value))
-    return memo["codec"]
-
-
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, exact boolean"
 
 
 def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
+    bounded_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
-    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(table, key)
+        codec = PieceCodec(PieceTable(**table.value))
         for batch in batches:
             # a few rows at a time: the ids of long texts outgrow their characters
             for at in range(0, batch.num_rows, 500):
@@ -223,11 +212,11 @@ def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_
 
 def decode_documents(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
+    bounded_batches(encoded.sparkSession)
     table = encoded.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
-    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(table, key)
+        codec = PieceCodec(PieceTable(**table.value))
         for batch in batches:
             texts = [codec.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

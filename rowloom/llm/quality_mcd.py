@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from rowloom.llm._shared import discard, load, stored
+from rowloom.llm._shared import bounded_batches, discard, load, stored
 from rowloom.llm.text_stats import count_text
 
 STAT_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -133,6 +133,7 @@ def _finish(factor: float):
 
 def _stats_table(docs: DataFrame, id_col: str, text: str, lang: str, source: str) -> DataFrame:
     """doc_id, language and source keys, counts, base verdict and vector; no text."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.to_json(F.array(F.col(lang))).alias("lang_key"),

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from rowloom.llm._shared import load
+from rowloom.llm._shared import bounded_batches, load
 
 BUCKETS, DIM = 1 << 17, 16
 NGRAMS = (3, 4, 5)
@@ -219,13 +219,14 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, *, id_col: str = "
     """doc_id and score (0 to 1) of every row."""
     if model is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score"))
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.values)
     slope, offset, empty = model.slope, model.offset, model.empty
 
     class _Values(dict):
         def __missing__(self, word: str) -> float:
             value = float(shared.value[subwords(word)].mean())
-            if len(self) < 400_000:
+            if len(self) < 200_000:
                 self[word] = value
             return value
 
