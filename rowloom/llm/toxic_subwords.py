@@ -27,7 +27,6 @@ import string
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -44,11 +43,45 @@ EPOCHS, BATCH, RATE = 12, 512, 0.5
 _EDGES = string.punctuation + "«»“”„…–—¿¡"
 
 
+def _powers(n: int) -> np.ndarray:
+    """Odd multipliers for the places in a word."""
+    return np.cumprod(np.full(n, 0x9E3779B97F4A7C15 | 1, np.uint64))
+
+
+def subword_bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of all words' n-grams and of the words, and the number of each one's word.
+
+    The words stand in one array of code points between ``<`` and ``>``; n-grams that
+    would reach into the next word are left out.
+    """
+    framed = [f"<{w.strip(_EDGES)}>" for w in words]
+    sizes = np.fromiter(map(len, framed), np.int64, len(framed))
+    code = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), sizes)
+    power = _powers(int(sizes.max(initial=1)))
+    whole = np.add.reduceat(code * power[np.arange(len(code)) - starts[word]], starts) if len(words) else code
+    hashes, owners = [whole], [np.arange(len(words))]
+    for n in NGRAMS:
+        m = len(code) - n + 1
+        if m > 0:
+            inside = word[:m] == word[n - 1 :]
+            h = sum(code[k : k + m] * power_k for k, power_k in enumerate(_powers(n))) + np.uint64(n)
+            hashes.append(h[inside])
+            owners.append(word[:m][inside])
+    h = np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
+
+
 def subwords(word: str) -> list[int]:
-    """Hash buckets of a word's n-grams and of the word."""
-    w = f"<{word.strip(_EDGES)}>"
-    grams = {w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)} | {w + w}
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in sorted(grams)]
+    return subword_bags([word])[0].tolist()
+
+
+def word_values(words: list[str], bucket_values: np.ndarray) -> np.ndarray:
+    """Mean value of each word's buckets."""
+    rows, owner = subword_bags(words)
+    return np.bincount(owner, bucket_values[rows], len(words)) / np.maximum(np.bincount(owner, minlength=len(words)), 1)
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +105,18 @@ class _Sample:
         self.y = labels.astype(float)
         number: dict[str, int] = {}
         self.docs = [np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.int64) for t in texts]
-        grams = [subwords(w) for w in number]
-        # buckets of too few texts would only memorise them
-        df, pos = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for d, y in zip(self.docs, self.y):
-            met = list({b for w in np.unique(d) for b in grams[w]})
-            df[met] += 1
-            pos[met] += int(y)
-        grams = [[b for b in g if df[b] >= MIN_TEXTS] or [BUCKETS - 1] for g in grams]
-        self.df, self.pos = df, pos
-        self.sizes = np.array([len(g) for g in grams], np.int64)
-        self.flat = np.array([b for g in grams for b in g], np.int64)
+        rows, owner = subword_bags(list(number))
+        order = np.argsort(owner, kind="stable")
+        self.flat = rows[order]
+        self.sizes = np.bincount(owner, minlength=len(number))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.df, self.pos = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        for d, y in zip(self.docs, self.y):
+            met = np.unique(self.rows_of(np.unique(d))[0])
+            self.df[met] += 1
+            self.pos[met] += int(y)
+        # buckets of too few texts would only memorise them: they share a row that stays zero
+        self.flat = np.where(self.df[self.flat] >= MIN_TEXTS, self.flat, BUCKETS)
 
     def word_values(self, bucket_values: np.ndarray) -> np.ndarray:
         if not len(self.sizes):
@@ -101,7 +134,7 @@ class _Sample:
         prior = 10 * n1 / (n1 + n0)
         a, b = self.pos + prior, self.df - self.pos + 10 - prior
         z = (np.log(a / (n1 - self.pos + 10)) - np.log(b / (n0 - self.df + self.pos + 10))) / np.sqrt(1 / a + 1 / b)
-        z = np.where(z > 2, z, 0.0)
+        z = np.where((z > 2) & (np.arange(len(z)) < BUCKETS), z, 0.0)
         return np.maximum.reduceat(z[self.flat], self.starts[:-1]) if len(self.flat) else np.empty(0)
 
     def rows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +162,11 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
         return None
     rng = np.random.default_rng(seed)
     data = _Sample(texts, labels)
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM))
+    emb = rng.normal(0, 0.1, (BUCKETS + 1, DIM))
+    emb[data.df < MIN_TEXTS] = 0.0
+    emb[BUCKETS] = 0.0
     soft, bias = np.stack([-np.ones(DIM), np.ones(DIM)]) * rng.normal(0, 0.3, DIM), np.zeros(2)
-    emb_g, soft_g, bias_g = np.full(BUCKETS, 1e-6), np.full((2, DIM), 1e-6), np.full(2, 1e-6)
+    emb_g, soft_g, bias_g = np.full(BUCKETS + 1, 1e-6), np.full((2, DIM), 1e-6), np.full(2, 1e-6)
     live = [i for i, d in enumerate(data.docs) if len(d)]
     for epoch in range(EPOCHS):
         picks: list[tuple[np.ndarray, float]] = []
@@ -169,6 +204,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
             np.add.at(g, back, g_word[of])
             emb_g[used] += (g**2).mean(1)
             emb[used] -= RATE * g / np.sqrt(emb_g[used])[:, None]
+            emb[BUCKETS] = 0.0
             soft_g += g_soft**2
             soft -= RATE * g_soft / np.sqrt(soft_g)
             bias_g += g_bias**2
@@ -182,7 +218,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
     slope, offset = _calibrate(x, y)
     if odds:
         offset += float(np.log(odds) - np.log(y.sum() / (len(y) - y.sum())))
-    return ToxicModel(values.astype(np.float32), slope, offset, float(np.median(x[y == 0])))
+    return ToxicModel(values[:BUCKETS].astype(np.float32), slope, offset, float(np.median(x[y == 0])))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -223,18 +259,13 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, *, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model.values)
     slope, offset, empty = model.slope, model.offset, model.empty
 
-    class _Values(dict):
-        def __missing__(self, word: str) -> float:
-            value = float(shared.value[subwords(word)].mean())
-            if len(self) < 200_000:
-                self[word] = value
-            return value
-
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        value, out = _Values(), []
-        for t in texts:
-            words = t.lower().split() if t else []
+        split = [t.lower().split() if t else [] for t in texts]
+        fresh = sorted(set().union(*split))
+        value = dict(zip(fresh, word_values(fresh, shared.value).tolist()))
+        out = []
+        for words in split:
             v = np.fromiter(map(value.__getitem__, words), np.float32, len(words))
             out.append(passage_scores(v).max() if words else empty)
         return pd.Series(1 / (1 + np.exp(-np.clip(slope * np.array(out, float) + offset, -30, 30))))
