@@ -3,9 +3,13 @@
 Method: explicit rules (host suffix and path prefix, the longest wins) decide first.
 For the rest, each host's paths form a tree of segments.  Segments that vary are
 generalised into wildcards: those that hold digits or hashes by their shape, and those
-of which a parent has many, each rare.  Sibling templates whose share of bad labels does not differ
-significantly are merged (their counts are pooled), and a template is rejected when
-its smoothed share of bad labels, with a prior at the overall share, reaches a limit.
+of which a parent has many, each rare.  At every depth, branches whose share of bad labels does
+not differ significantly from that of their siblings are merged (their counts are pooled), and
+those that differ are merged with others that differ alike.  A branch's share is smoothed with its
+parent's as the prior, from the overall share through the host down to the template; a label
+counts at the deepest level that holds it only, and one by a rule's path prefix not above that
+prefix, as the rule says nothing of the host's other paths.  A template is rejected when its smoothed share
+reaches a limit; one without labels has its nearest labelled ancestor's.
 Labels are a column of the table or, by default, host names with well-known spam words
 (bad) and the verdicts of the rules, which templates generalise within a host.
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import ascii_lower, discard, load, stored
+from rowloom.llm._shared import ascii_lower, discard, if_small, load, stored
 
 #: (verdict, host suffix, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -32,7 +36,7 @@ MANY, RARE = 32, 0.1
 SEEDS = r"(^|[.-])(casino|bets?|poker|pills?|viagra|adult|porn|xxx)([.-]|$)"
 #: Weight of the prior, and the share of bad labels at which a template is rejected.
 PRIOR, LIMIT = 4.0, 0.6
-#: Siblings are pooled while a two-sample test of their shares stays below this (about 99 %).
+#: Branches are pooled while a two-sample test of their shares stays below this (about 99 %).
 Z = 2.58
 
 
@@ -45,6 +49,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def _reach(path: str) -> int:
+    """Depth of the branch that a rule's path prefix decides."""
+    return len([x for x in path.split("/") if x])
+
+
 def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits (null if none does)."""
     name = verdict = F.lit(None).cast("string")
@@ -60,10 +69,15 @@ def _shape(segment: Column) -> Column:
     return F.regexp_replace(hashed, "[0-9]+", "{n}")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """pages: host, path, bad (1, 0 or null), and any key columns.  Adds template and parent."""
+def templates(pages: DataFrame, deepest: int = 0) -> DataFrame:
+    """pages: host, path, bad (1, 0 or null), reach (the least depth at which the label counts, at
+    most ``deepest``).  Host, segments, template, and bad and known: counts by depth 0 to ``deepest``."""
     shaped = pages.withColumn("segments", F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _shape))
-    counted = shaped.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.count("bad").alias("known"))
+    counted = shaped.groupBy("host", "segments").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("reach") <= k, F.col("bad"))), F.lit(0)) for k in range(deepest + 1)]).alias("bad"),
+        F.array(*[F.count(F.when(F.col("reach") <= k, F.col("bad"))) for k in range(deepest + 1)]).alias("known"),
+    )
     paths = stored(counted, "paths")
 
     steps = paths.select("host", "segments", "n", F.posexplode("segments").alias("depth", "segment"))
@@ -82,32 +96,84 @@ def templates(pages: DataFrame) -> DataFrame:
         F.col("host").alias("t_host"),
         F.col("segments").alias("t_segments"),
         F.concat(F.lit("/"), F.array_join(F.transform("p", lambda x: x["part"]), "/")).alias("template"),
-        F.concat(F.lit("/"), F.array_join(F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: x["part"]), "/")).alias("parent"),
     )
     out = paths.join(named, (paths["host"] == named["t_host"]) & (paths["segments"] == named["t_segments"]))
-    done = stored(out.select("host", "segments", "n", "bad", "known", "template", "parent"), "templates")
+    done = stored(out.select("host", "segments", "n", "bad", "known", "template"), "templates")
     discard(paths, wide)
     return done
 
 
-def judge_templates(paths: DataFrame, *, prior: float = PRIOR, limit: float = LIMIT) -> DataFrame:
+def _alike(bad: Column, known: Column, bad2: Column, known2: Column) -> Column:
+    """Whether two samples' shares do not differ significantly."""
+    mean = (bad + bad2) / (known + known2)
+    return F.abs(bad / known - bad2 / known2) <= Z * F.sqrt(mean * (1 - mean) * (1 / known + 1 / known2))
+
+
+def _pooled(nodes: DataFrame) -> DataFrame:
+    """nodes: host, up, node, bad, known, and the part of these that counts in the parent, up_bad and up_known.
+    The sums (gb, gk, ub, uk) over each labelled node's group of siblings."""
+    on = ["host", "up"]
+    sums = nodes.groupBy(*on).agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
+    sums = stored(sums.where("all_known > 0"), "families")
+    some = nodes.where("known > 0").join(if_small(sums), on)
+    rest_bad, rest = F.col("all_bad") - F.col("bad"), F.nullif(F.col("all_known") - F.col("known"), F.lit(0))
+    share = F.col("bad") / F.col("known")
+    differs = F.coalesce(~_alike(F.col("bad"), F.col("known"), rest_bad, rest), F.lit(False))
+    # 0: like the other siblings together; those above (1) or below (-1) pool among themselves
+    side = F.when(differs, F.signum(share - rest_bad / rest).cast("int")).otherwise(0)
+    some = some.withColumn("side", side).withColumn("share", F.when(F.col("side") != 0, share).otherwise(0.0))
+    some = stored(some.select("host", "up", "node", "bad", "known", "up_bad", "up_known", "side", "share"), "sided")
+    equal = some.groupBy(*on, "side", "share").agg(*[F.sum(c).cast("double").alias(k) for c, k in (("bad", "b"), ("known", "k"), ("up_bad", "ub"), ("up_known", "uk"))])
+    row = F.struct("side", "share", "b", "k", "ub", "uk")
+    family = equal.groupBy(*on).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(last["side"].alias("side"), last["share"].alias("share"), *[(last[k] + x[k]).alias(k) for k in ("b", "k", "ub", "uk")])
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))
+        same = (last["side"] == x["side"]) & _alike(last["b"], last["k"], x["b"], x["k"])
+        return F.when(same, grown).otherwise(F.concat(done, F.array(x)))
+
+    groups = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), F.slice("rows", 1, 1), step)
+    family = stored(family.select(*on, groups.alias("groups")), "groups")
+    own = F.struct("side", "share")
+    of = F.element_at(F.filter("groups", lambda g: F.struct(g["side"].alias("side"), g["share"].alias("share")) <= own), -1)
+    out = some.join(if_small(family), on).select("host", "node", of["b"].alias("gb"), of["k"].alias("gk"), of["ub"].alias("ub"), of["uk"].alias("uk"))
+    out = stored(out, "pooled")
+    discard(sums, some, family)
+    return out
+
+
+def judge_templates(paths: DataFrame, deepest: int = 0, *, prior: float = PRIOR, limit: float = LIMIT) -> DataFrame:
     """host, segments, template, purity and rejected for every shaped path."""
-    t = paths.groupBy("host", "parent", "template").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.sum("known").alias("known"))
-    sums = t.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    t = paths.groupBy("host", "template").agg(*[F.array(*[F.sum(F.col(c)[k]) for k in range(deepest + 1)]).alias(c) for c in ("bad", "known")])
+    t = stored(t, "template-counts")
+    sums = t.agg(*[F.coalesce(F.sum(F.col(c)[deepest]), F.lit(0)) for c in ("bad", "known")]).first()
     base = (sums[0] + 1) / (sums[1] + 2)
-    # siblings pool with the family's labelled rows if their shares do not differ significantly
-    family = Window.partitionBy("host", "parent")
-    others_bad, others = F.sum("bad").over(family) - F.col("bad"), F.sum("known").over(family) - F.col("known")
-    mean = (F.col("bad") + others_bad) / (F.col("known") + others)
-    gap = F.abs(F.col("bad") / F.col("known") - others_bad / others)
-    spread = F.sqrt(mean * (1 - mean) * (1 / F.col("known") + 1 / others))
-    alike = (F.col("known") > 0) & (others > 0) & F.coalesce(gap <= Z * spread, F.lit(False))
-    pooled = t.withColumn("alike", alike).withColumn("ob", others_bad).withColumn("on", others)
-    b = F.when(F.col("alike"), F.col("bad") + F.col("ob")).otherwise(F.col("bad"))
-    k = F.when(F.col("alike"), F.col("known") + F.col("on")).otherwise(F.col("known"))
-    purity = (b + F.lit(prior * min(base, 0.5))) / (k + F.lit(prior))
-    j = pooled.select(F.col("host").alias("j_host"), F.col("template").alias("j_template"), F.col("parent").alias("j_parent"), purity.alias("purity"))
-    out = paths.join(j, (paths["host"] == j["j_host"]) & (paths["template"] == j["j_template"]) & (paths["parent"] == j["j_parent"]))
+    # nodes: the host (""), each prefix, and the end of the path ("#" cannot occur in one)
+    ends = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col("template"), F.lit("/[^/]*"), F.lit(0)), F.array(F.lit("#")))
+    steps = t.withColumn("parts", ends).select("host", "template", "bad", "known", "parts", F.posexplode("parts").alias("level", "part"))
+    node = F.array_join(F.slice("parts", F.lit(1), F.col("level") + 1), "")
+    up = F.when(F.col("level") == 0, F.lit("^")).otherwise(F.array_join(F.slice("parts", F.lit(1), F.col("level")), ""))
+
+    def at(c: str, level: Column) -> Column:
+        return F.when(level < 0, 0).otherwise(F.get(c, F.least(level, F.lit(deepest))))
+
+    counts = [at(c, F.col("level") - d).alias(k) for c, d, k in (("bad", 0, "bad"), ("known", 0, "known"), ("bad", 1, "up_bad"), ("known", 1, "up_known"))]
+    chain = stored(steps.select("host", "template", *counts, "level", node.alias("node"), up.alias("up")), "chains")
+    nodes = stored(chain.groupBy("host", "up", "node").agg(*[F.sum(c).alias(c) for c in ("bad", "known", "up_bad", "up_known")]), "nodes")
+    pooled = _pooled(nodes)
+
+    found = chain.select("host", "template", "level", "node").join(if_small(pooled), ["host", "node"], "left")
+    counts = F.struct("level", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("gb", "gk", "ub", "uk")])
+    lines = found.groupBy("host", "template").agg(F.array_sort(F.collect_list(counts)).alias("c"))
+    # from the host down, each level adds the labels that the next one does not hold, so each counts once
+    below = F.struct(F.lit(0).alias("level"), *[F.lit(0.0).alias(c) for c in ("gb", "gk", "ub", "uk")])
+    ring = F.zip_with("c", F.concat(F.slice("c", F.lit(2), F.size("c")), F.array(below)), lambda x, y: F.struct((x["gb"] - y["ub"]).alias("b"), (x["gk"] - y["uk"]).alias("k")))
+    purity = F.aggregate(ring, F.lit(float(min(base, 0.5))), lambda p, r: (r["b"] + prior * p) / (r["k"] + prior))
+    j = stored(lines.select(F.col("host").alias("j_host"), F.col("template").alias("j_template"), purity.alias("purity")), "purities")
+    discard(t, chain, nodes, pooled)
+    out = paths.join(j, (paths["host"] == j["j_host"]) & (paths["template"] == j["j_template"]))
     return out.select("host", "segments", "template", "purity", (F.col("purity") >= limit).alias("rejected"))
 
 
@@ -123,8 +189,13 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url: str = "url",
     ruled = rows.withColumn("rule", name).withColumn("said", verdict)
     by_rule = F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0)
     by_name = F.when(F.col("host").rlike(seeds), 1)
-    ruled = ruled.withColumn("bad", F.coalesce("given", by_name, by_rule)).drop("given")
-    judged = judge_templates(templates(ruled.select("host", "path", "bad")))
+    known = F.coalesce("given", by_name)
+    reach = F.lit(0)
+    for _, h, p in rules:
+        reach = F.when(known.isNull() & (F.col("rule") == h + p), _reach(p)).otherwise(reach)
+    deepest = max((_reach(p) for _, _, p in rules), default=0)
+    ruled = ruled.withColumn("bad", F.coalesce(known, by_rule)).withColumn("reach", reach).drop("given")
+    judged = judge_templates(templates(ruled.select("host", "path", "bad", "reach"), deepest), deepest)
     judged = stored(judged, "judged").withColumnRenamed("host", "g_host").withColumnRenamed("segments", "g_segments")
     shaped = ruled.withColumn("segments", F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _shape))
     out = shaped.join(judged, (shaped["host"] == judged["g_host"]) & (shaped["segments"] == judged["g_segments"]), "left")

@@ -71,3 +71,33 @@ def test_odd_rows(spark):
     df = with_clashes(spark.createDataFrame([(1, "http://a.b/" + "x/" * 5000), (1, "http://a.b/" + "x/" * 5000), (None, None), (None, "http://n.net/")], "page_id long, url string"))
     assert CLASH and ut.filter_urls(df).count() == 4
     assert ut.filter_urls(df.limit(0)).count() == 0
+
+
+def labelled(spark, rows):
+    """Results by page_id of urls with labels, without rules."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "page_id long, url string, bad int")
+    return {r["page_id"]: r for r in ut.filter_urls(df, bad=F.col("bad"), rules=[]).collect()}
+
+
+def test_branches_back_off_to_their_ancestors(spark):
+    rows = [(f"http://bad.x/en/{i}", 1) for i in range(40)] + [(f"http://good.x/{d}/{i}", 0) for d in ("a", "b", "c") for i in range(40)]
+    rows += [("http://bad.x/en/1/", 1), ("http://bad.x/fr/1/", 1), ("http://bad.x/new/page", None), ("http://good.x/a/1/", 0), ("http://good.x/new/page", None)]
+    # two bad branches, too small alone, differ from their siblings alike; a chain counts one label once
+    rows += [(f"http://good.x/{d}/{i}/x", 1) for d in ("p", "q") for i in range(5)] + [("http://one.x/a/b/c/d/e/f/g", 1)]
+    got = labelled(spark, rows)
+    assert {r["verdict"] for i, r in got.items() if rows[i][0].startswith("http://bad.x")} == {"block"}
+    assert {r["verdict"] for i, r in got.items() if rows[i][0].startswith(("http://good.x/a", "http://good.x/new"))} == {"allow"}
+    assert {r["verdict"] for i, r in got.items() if "/x" in rows[i][0][14:] and "good" in rows[i][0]} == {"block"}
+    last, bad = got[len(rows) - 1], sum(b or 0 for _, b in rows)
+    base = (bad + 1) / (sum(b is not None for _, b in rows) + 2)
+    assert last["purity"] == pytest.approx((1 + ut.PRIOR * min(base, 0.5)) / (1 + ut.PRIOR), abs=1e-6) and last["verdict"] == "allow"
+
+
+def test_a_rule_on_a_path_does_not_condemn_the_host(spark):
+    rows = [(i, f"http://h.example.com/de/{i}") for i in range(60)] + [(100, "http://h.example.com/en/1"), (101, "http://h.example.com/en/1/")]
+    rows += [(200 + i, f"http://casino.example.com/en/{i}") for i in range(9)] + [(300, "http://casino.example.com/fr/1/")]
+    got = {r["page_id"]: r["verdict"] for r in ut.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {v for i, v in got.items() if i < 100 or i >= 200} == {"block"}
+    assert got[100] == got[101] == "allow"
