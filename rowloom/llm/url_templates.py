@@ -30,7 +30,7 @@ from rowloom.llm._shared import ascii_lower, discard, if_small, load, stored
 
 #: (verdict, host suffix, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: A parent with more distinct segments than this, none with a share over RARE, has a wildcard below it.
+#: A parent with more distinct segments than this has a wildcard for those whose share is at most RARE.
 MANY, RARE = 32, 0.1
 #: Words in host names that label a page as bad.
 SEEDS = r"(^|[.-])(casino|bets?|poker|pills?|viagra|adult|porn|xxx)([.-]|$)"
@@ -83,13 +83,17 @@ def templates(pages: DataFrame, deepest: int = 0) -> DataFrame:
     steps = paths.select("host", "segments", "n", F.posexplode("segments").alias("depth", "segment"))
     above = F.array_join(F.slice("segments", F.lit(1), F.col("depth")), "/")
     steps = steps.withColumn("above", above)
-    each = steps.groupBy("host", "above", "segment").agg(F.sum("n").alias("n"))
-    parents = each.groupBy("host", "above").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("top"), F.sum("n").alias("all"))
-    wide = parents.where((F.col("kinds") > MANY) & (F.col("top") <= RARE * F.col("all")))
-    wide = stored(wide.select(F.col("host").alias("w_host"), F.col("above").alias("w_above")), "wildcards")
+    each = stored(steps.groupBy("host", "above", "segment").agg(F.sum("n").alias("n")), "segments")
+    parents = each.groupBy("host", "above").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
+    wide = stored(parents.where(F.col("kinds") > MANY), "parents")
+    often = each.join(if_small(wide), ["host", "above"]).where(F.col("n") > RARE * F.col("all"))
+    often = often.groupBy("host", "above").agg(F.collect_list("segment").alias("often"))  # less than 1 / RARE
+    wide, parents = wide.join(often, ["host", "above"], "left"), wide
+    wide = stored(wide.select(F.col("host").alias("w_host"), F.col("above").alias("w_above"), "often"), "wildcards")
 
     open_ = steps.join(wide, (steps["host"] == wide["w_host"]) & (steps["above"] == wide["w_above"]), "left")
-    part = F.when(F.col("w_host").isNotNull(), F.lit("*")).otherwise(F.col("segment"))
+    literal = F.col("w_host").isNull() | F.coalesce(F.array_contains("often", F.col("segment")), F.lit(False))
+    part = F.when(literal, F.col("segment")).otherwise(F.lit("*"))
     parts = F.array_sort(F.collect_list(F.struct("depth", part.alias("part"))))
     named = open_.groupBy("host", "segments").agg(parts.alias("p"))
     named = named.select(
@@ -99,7 +103,7 @@ def templates(pages: DataFrame, deepest: int = 0) -> DataFrame:
     )
     out = paths.join(named, (paths["host"] == named["t_host"]) & (paths["segments"] == named["t_segments"]))
     done = stored(out.select("host", "segments", "n", "bad", "known", "template"), "templates")
-    discard(paths, wide)
+    discard(paths, each, parents, wide)
     return done
 
 

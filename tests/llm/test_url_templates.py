@@ -101,3 +101,13 @@ def test_a_rule_on_a_path_does_not_condemn_the_host(spark):
     got = {r["page_id"]: r["verdict"] for r in ut.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert {v for i, v in got.items() if i < 100 or i >= 200} == {"block"}
     assert got[100] == got[101] == "allow"
+
+
+def test_rare_segments_beside_a_hot_one_become_wildcards(spark):
+    names = [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmno" for c in "uvwxy"]
+    rows = [(f"http://hot.x/user/{n}/post", 1 if i % 2 else None) for i, n in enumerate(names)]
+    rows += [("http://hot.x/user/alice/post", 0)] * 100
+    got = labelled(spark, rows)
+    assert {r["template"] for i, r in got.items() if i < len(names)} == {"/user/*/post"}
+    assert {r["verdict"] for i, r in got.items() if i < len(names)} == {"block"}
+    assert {(r["template"], r["verdict"]) for i, r in got.items() if i >= len(names)} == {("/user/alice/post", "allow")}
