@@ -9,8 +9,9 @@ for the first kinds and from cue words or known key forms for secrets; the valid
 the cue, is not among the features of the kind it labels.  Boosted trees are fitted to the counts of
 all candidates of the corpus by feature cell, on one half of the texts; the other half
 calibrates, by isotonic regression, one threshold per kind.  Spans that pass the base
-rules stay in any case; other candidates are added where their score reaches the
-threshold and they do not overlap a base span.
+rules stay in any case; other candidates are added where they do not overlap a base span
+and their score reaches the threshold, or a cue word or a published key form marks them,
+however common unmarked candidates of the same looks are.
 
 Patterns use possessive quantifiers and border checks, so that they are linear in the
 text; they find what the plain patterns find.  All work on texts is in DataFrame
@@ -33,6 +34,8 @@ from rowloom.llm._shared import load
 
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 BASE = ("email", "ip", "card", "phone")
+#: Kinds of which a cue word or a known form selects a candidate without the trees.
+BY_CUE = ("secret", "local")
 #: kind: (cheap test for texts that can hold it, pattern)
 GENERATORS = {
     "email": ("@", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{LABEL}]++(?:\.[{LABEL}]++)++"),
@@ -108,7 +111,6 @@ def _candidates(kind: str, text: Column) -> Column:
             start = _total(F.slice(x["g"], F.lit(1), i + 1)) + _total(F.slice(x["m"], F.lit(1), i))
             valid = _valid(kind, s, before)
             size = F.length(s)
-            by_cue = kind in ("secret", "local")
             cell = {
                 "kind": F.lit(KINDS.index(kind)),
                 "length": F.when(size < 8, 0).when(size < 12, 1).when(size < 16, 2).when(size < 20, 3).when(size < 33, 4).otherwise(5),
@@ -116,7 +118,7 @@ def _candidates(kind: str, text: Column) -> Column:
                 .when(s.rlike("^[0-9A-Z]+$"), 3).when(s.rlike("[A-Z]") & s.rlike("[a-z]"), 4).otherwise(5),
                 "border": (F.when(before.rlike(r"[\p{L}0-9]$"), 1).otherwise(0) + F.when(after.rlike(r"^[\p{L}0-9]"), 2).otherwise(0)),
                 "quoted": F.when(before.rlike(r"[\"'`]$"), 1).otherwise(0),
-                "cue": F.lit(0) if by_cue else F.when(before.rlike(CUES[kind]), 1).otherwise(0),
+                "cue": F.lit(0) if kind in BY_CUE else F.when(before.rlike(CUES[kind]), 1).otherwise(0),
             }
             return F.struct(
                 F.lit(kind).alias("name"),
@@ -150,12 +152,13 @@ class SpanModel:
         self.trees, self.thresholds = trees, thresholds
 
     def adds(self, c: Column) -> Column:
-        """Whether the trees select a candidate."""
+        """Whether a cue, a known form or the trees select a candidate."""
+        cued = c["name"].isin(*BY_CUE) & (c["y"] == 1)
         live = {k: t for k, t in self.thresholds.items() if np.isfinite(t)}
         if not live:
-            return F.lit(False)
+            return cued
         least = F.create_map(*[F.lit(x) for k, t in live.items() for x in (k, float(t) - 1e-9)])
-        return F.coalesce(boosting.column(self.trees, [c[f] for f in FEATURES]) >= F.try_element_at(least, c["name"]), F.lit(False))
+        return cued | F.coalesce(boosting.column(self.trees, [c[f] for f in FEATURES]) >= F.try_element_at(least, c["name"]), F.lit(False))
 
 
 def fit_model(docs: DataFrame, *, text: str = "text", precision: float = PRECISION) -> SpanModel:
