@@ -22,7 +22,9 @@ columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 
 from rowloom.llm._shared import LOWER, UPPER, bounded_batches, discard, if_small, load, stored
 
-#: 12 + 12 bands of 6 values: a pair of similarity 0.85 is missed with probability 1e-5.
+#: At 0.85 12 + 12 bands of 6 values, at 0.8 14 + 14 of 5: a pair of that similarity is missed with probability 1e-5.
 PERMUTATIONS, BAND_ROWS = 72, 6
+#: Most that a band shape may miss of the pairs at the threshold.
+MISS = 1.5e-5
 WIDTH = 3
 _CHUNK = 4096
 
@@ -43,10 +47,19 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
 
 
-_XOR, _MUL = _constants(PERMUTATIONS, 11)[:, None], (_constants(PERMUTATIONS, 12) | np.uint64(1))[:, None]
 _PLACE = _constants(8, 13) | np.uint64(1)
 _IN_BAND = _constants(BAND_ROWS, 14) | np.uint64(1)
-_BAND = _constants(2 * PERMUTATIONS // BAND_ROWS, 15)
+
+
+def band_shape(percent: int) -> tuple[int, int]:
+    """Bands (an even number) and values in each: the longest bands that miss at most MISS of the pairs
+    at ``percent`` with 2 * PERMUTATIONS values; below that, as many bands of one value as it takes."""
+    for rows in range(BAND_ROWS, 0, -1):
+        same = min(percent / 100, 1 - 1e-9) ** rows
+        bands = 2 * math.ceil(math.log(MISS) / math.log(1 - same) / 2)
+        if bands * rows <= 2 * PERMUTATIONS:
+            break
+    return bands, rows
 
 
 class _WordHashes(dict):
@@ -82,26 +95,39 @@ def shingle_set(text: str | None, words_of: _WordHashes, width: int = WIDTH) ->
     return np.unique(_mix(total))
 
 
-def min_max_signature(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _constants(n, 11)[:, None], (_constants(n, 12) | np.uint64(1))[:, None]
+
+
+@functools.cache
+def _band(n: int) -> np.ndarray:
+    return _constants(n, 15)
+
+
+def min_max_signature(sets: np.ndarray, permutations: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the set under each permutation."""
+    xor, mul = _permutations(permutations)
     low = high = None
     for at in range(0, len(sets), _CHUNK):
-        y = (sets[None, at : at + _CHUNK] ^ _XOR) * _MUL
+        y = (sets[None, at : at + _CHUNK] ^ xor) * mul
         lo, hi = y.min(1), y.max(1)
         low = lo if low is None else np.minimum(low, lo)
         high = hi if high is None else np.maximum(high, hi)
     return low, high
 
 
-def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    rows = np.concatenate([low, high]).reshape(-1, BAND_ROWS)
-    return _mix(_mix(rows * _IN_BAND).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
+def band_keys(low: np.ndarray, high: np.ndarray, length: int = BAND_ROWS) -> np.ndarray:
+    rows = np.concatenate([low, high]).reshape(-1, length)
+    return _mix(_mix(rows * _IN_BAND[:length]).sum(1, dtype=np.uint64) + _band(len(rows))).view(np.int64)
 
 
 _SIGNATURES = "doc_id long, th long, n_shingles long, set_key string, bands array<long>"
 
 
-def _sign(width: int):
+def _sign(width: int, percent: int):
+    count, length = band_shape(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _WordHashes()
         for batch in batches:
@@ -111,7 +137,7 @@ def _sign(width: int):
                 sizes.append(len(s))
                 if len(s):
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-                    bands.append(band_keys(*min_max_signature(s)))
+                    bands.append(band_keys(*min_max_signature(s, count * length // 2), length))
                 else:
                     keys.append(None)
                     bands.append(None)
@@ -216,7 +242,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     """Signatures of all rows, and (node, component) of the linked representatives."""
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    sig = stored(keyed.mapInArrow(_sign(width), _SIGNATURES), "signatures")
+    sig = stored(keyed.mapInArrow(_sign(width, percent), _SIGNATURES), "signatures")
     live = sig.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "th", "n_shingles", "bands")).alias("r")
     reps = stored(live.groupBy("set_key").agg(first).select("set_key", "r.*"), "representatives")

@@ -123,3 +123,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(3, "a b c d e f")] * 4 + [(4, "q r s t u v")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in md.drop_near_duplicates(df).collect()) == [3, 4]
+
+
+def test_bands_fit_the_threshold():
+    import numpy as np
+
+    from rowloom.llm import minmax_dedup as mm
+
+    assert mm.band_shape(85) == (24, 6) and mm.band_shape(80) == (28, 5)
+    for percent in range(5, 101):
+        bands, rows = mm.band_shape(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= mm.MISS
+    bands, rows = mm.band_shape(80)
+    rng, missed = np.random.default_rng(5), 0
+    for _ in range(10_000):  # pairs of similarity 0.8 exactly; 24 bands of 6 miss about seven
+        x = rng.integers(0, 2**64, 100, dtype=np.uint64)
+        a, b = (mm.band_keys(*mm.min_max_signature(s, bands * rows // 2), rows) for s in (x[:90], np.concatenate([x[:80], x[90:]])))
+        missed += not (a == b).any()
+    assert missed <= 1
