@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,11 +18,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local tests) a temporary folder is
-    made and remembered in the session.
+    Where the session names none, a session on one machine (tests) gets a temporary
+    folder, remembered in the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="rowloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,21 +52,40 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers get at most ``rows`` texts at a time.
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While tables are written inside, Python workers get at most ``rows`` rows at a time.
 
-    The session's default of 10,000 rows has no useful bound in bytes when rows are
-    whole texts.  A smaller setting of the session stays.
+    Elsewhere the session's limits hold (by default 10,000 rows and 64 MB a batch).
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+    was = spark.conf.get(name)
+    if int(was) > rows or int(was) <= 0:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
-def if_small(table: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A stored table of a few numbers a row, marked for broadcast if its counted rows
-    stay under ``max_rows`` (tens of megabytes); otherwise as it is, for a shuffled join."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+#: Most memory that a table marked for broadcast may take.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if it takes at most ``limit`` bytes in memory;
+    otherwise as it is, for a shuffled join.
+
+    Memory is estimated from above by the counted rows, at eight bytes a field and 32 a
+    row, and, if a field is of variable length, eight times the bytes of the files.
+    """
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._rowloom_path)
+    on_disk = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    if on_disk > limit:
+        return table
+    wide = any(not isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in table.schema)
+    return F.broadcast(table) if table.count() * (32 + 8 * len(table.columns)) + wide * 8 * on_disk <= limit else table
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

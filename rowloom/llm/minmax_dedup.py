@@ -7,17 +7,21 @@ that share a band key are candidates; every candidate link that is used is confi
 on the full shingle sets.
 
 No group of copies is expanded into all pairs.  Documents with equal sets form one
-class, represented by its smallest doc_id.  In each bucket every member is first
-compared with one pivot only.  After the components of those links are known, the
-buckets that still hold members of different components are finished exactly: each
-member outside the bucket's largest component is compared with the members of other
-components, except where sizes, or the triangle inequality of the Jaccard distance with
-the pivot, rule a link out.  No candidate is capped or sampled.
+class, represented by its smallest doc_id.  In each bucket every member, of whatever
+size, is first compared with one pivot only, which leaves its difference from the pivot.
+After the components of those links are known, members of buckets that still hold
+several components are settled exactly by their differences: two linked documents, one
+of which is not linked with the pivot, always have a difference in common, so members meet
+through an index of their differences, rarest first.  A member's part of the index is as
+long as the overlap that a link needs demands (a prefix filter), and its partners' sizes are
+bounded by how many of its shingles any other member has.  No candidate is capped or
+sampled; a link is missed only if its documents share no band (``band_shape``).
 
 Defined cases: null or empty text has an empty set, is linked with nothing and kept;
 a null doc_id takes no part in linking (component null); rows with the same doc_id are
-one node; exact repeats get equal results; an empty table gives an empty result; other
-columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+one node, whose links are those of all its texts; exact repeats get equal results, and
+``drop_near_duplicates`` keeps one row of each (doc_id, text) whose doc_id stays; an empty table gives
+an empty result; other columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import LOWER, UPPER, bounded_batches, discard, if_small, load, stored
+from rowloom.llm._shared import LOWER, UPPER, discard, if_small, load, small_batches, stored
 
 #: At 0.85 12 + 12 bands of 6 values, at 0.8 14 + 14 of 5: a pair of that similarity is missed with probability 1e-5.
 PERMUTATIONS, BAND_ROWS = 72, 6
@@ -150,7 +154,7 @@ def _sign(width: int, percent: int):
 
 
 #: a and b with the sizes of their sets, and the hashes that only a or only b has.
-_VERIFIED = "a long, b long, n_a long, n_b long, lacks array<long>, more array<long>"
+_VERIFIED = "a long, a_th long, b long, b_th long, n_a long, n_b long, lacks array<long>, more array<long>"
 
 
 def _compare(width: int):
@@ -158,9 +162,9 @@ def _compare(width: int):
         words_of, last, pivot = _WordHashes(), None, None
         for batch in batches:
             sizes, lacks, more = [], [], []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, pivot = a, shingle_set(ta.as_py(), words_of, width)
+            for a, th, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), batch.column(5)):
+                if (a, th) != last:
+                    last, pivot = (a, th), shingle_set(ta.as_py(), words_of, width)
                 other = shingle_set(tb.as_py(), words_of, width)
                 sizes.append((len(pivot), len(other)))
                 lacks.append(np.setdiff1d(pivot, other, assume_unique=True).view(np.int64))
@@ -168,8 +172,8 @@ def _compare(width: int):
             na, nb = (pa.array([n[k] for n in sizes], pa.int64()) for k in (0, 1))
             hashes = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), na, nb, pa.array(lacks, hashes), pa.array(more, hashes)],
-                ["a", "b", "n_a", "n_b", "lacks", "more"],
+                [*batch.columns[:4], na, nb, pa.array(lacks, hashes), pa.array(more, hashes)],
+                ["a", "a_th", "b", "b_th", "n_a", "n_b", "lacks", "more"],
             )
 
     return run
@@ -205,171 +209,169 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark(now)
         if seen == was:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-class _Linker:
-    """Confirms candidate pairs of representatives on their whole texts."""
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._rowloom_path = now._rowloom_path
+    return out
 
-    def __init__(self, texts: DataFrame, width: int, percent: int):
-        self.texts, self.width, self.percent = texts, width, percent
 
-    def similar_sizes(self, x: str, y: str) -> Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
+def _confirm(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """pairs: a, a_th, b, b_th of representatives; texts: id, th, text.  Returns the columns of
+    _VERIFIED, from the whole texts."""
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("id"), F.col("a_th").alias("th")).unionByName(
+        pairs.select(F.col("b").alias("id"), F.col("b_th").alias("th"))
+    )
+    nodes = stored(nodes.distinct(), "nodes")
+    some = texts.join(if_small(nodes), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+    some = stored(some, "texts")
+    tb = some.select(F.col("id").alias("b"), F.col("th").alias("b_th"), F.col("text").alias("text_b"))
+    ta = some.select(F.col("id").alias("a"), F.col("th").alias("a_th"), F.col("text").alias("text_a"))
+    both = pairs.join(tb, ["b", "b_th"]).join(ta, ["a", "a_th"])
+    out = stored(both.select("a", "a_th", "b", "b_th", "text_a", "text_b").mapInArrow(_compare(width), _VERIFIED), "verified")
+    discard(pairs, nodes, some)
+    return out
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, a_th, b, b_th.  Returns the columns of _VERIFIED."""
-        pairs = stored(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("id"), F.col("a_th").alias("th")).unionByName(
-            pairs.select(F.col("b").alias("id"), F.col("b_th").alias("th"))
-        )
-        nodes = stored(nodes.distinct(), "nodes")
-        texts = self.texts.join(if_small(nodes), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
-        texts = stored(texts, "texts")
-        tb = texts.select(F.col("id").alias("b"), F.col("th").alias("b_th"), F.col("text").alias("text_b"))
-        ta = texts.select(F.col("id").alias("a"), F.col("th").alias("a_th"), F.col("text").alias("text_a"))
-        both = pairs.join(tb, ["b", "b_th"]).join(ta, ["a", "a_th"])
-        out = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(self.width), _VERIFIED), "verified")
-        discard(pairs, nodes, texts)
-        return out
 
-    def links(self, verified: DataFrame) -> DataFrame:
-        both = F.col("n_b") - F.size("more")
-        return verified.where(both * 100 >= (F.col("n_a") + F.size("more")) * self.percent).select("a", "b")
+def _links(verified: DataFrame, percent: int) -> DataFrame:
+    both = F.col("n_b") - F.size("more")
+    return verified.where(both * 100 >= (F.col("n_a") + F.size("more")) * percent).select("a", "b")
 
 
-def _classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and (node, component) of the linked representatives."""
-    bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    sig = stored(keyed.mapInArrow(_sign(width, percent), _SIGNATURES), "signatures")
-    live = sig.where("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "th", "n_shingles", "bands")).alias("r")
-    reps = stored(live.groupBy("set_key").agg(first).select("set_key", "r.*"), "representatives")
-    banded = reps.select(F.explode("bands").alias("key"), "doc_id", "th", "n_shingles")
+def _members(reps: DataFrame) -> DataFrame:
+    """Every representative in each bucket that it shares with others, with the bucket's pivot
+    (p): the member that meets most others over all buckets."""
+    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "th", F.col("n_shingles").alias("n"))
     buckets = banded.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("m"))
     buckets = stored(buckets.where("m > 1"), "buckets")
-    found = banded.join(if_small(buckets), banded["key"] == buckets["bucket"])
-    found = stored(found.select("key", F.col("doc_id").alias("id"), "th", F.col("n_shingles").alias("n"), "m"), "found")
-    discard(buckets)
+    found = stored(banded.join(if_small(buckets), banded["key"] == buckets["bucket"]).drop("bucket"), "found")
     central = stored(found.groupBy(F.col("id").alias("c_id")).agg(F.sum("m").alias("central")), "central")
-    found = found.join(central, found["id"] == central["c_id"]).select("key", "id", "th", "n", "central")
-    members = stored(found, "members")
+    found_central = found.join(if_small(central), found["id"] == central["c_id"]).drop("c_id", "m")
     first = F.max(F.struct("central", (-F.col("id")).alias("o"), "id", "th", "n")).alias("p")
-    pivots = stored(members.groupBy(F.col("key").alias("bucket")).agg(first).select("bucket", F.struct("p.id", "p.th", "p.n").alias("p")), "pivots")
-    members = members.join(if_small(pivots), members["key"] == pivots["bucket"]).drop("bucket")
-    members = stored(members, "members")
-
-    linker = _Linker(keyed.withColumnRenamed("doc_id", "id"), width, percent)
-    near = members.where(linker.similar_sizes("n", "p.n") & (F.col("id") != F.col("p.id")))
-    star = near.select(F.col("p.id").alias("a"), F.col("p.th").alias("a_th"), F.col("id").alias("b"), F.col("th").alias("b_th"))
-    verified = linker.confirm(star.distinct())
-    edges = stored(linker.links(verified), "links")
+    pivots = found_central.groupBy(F.col("key").alias("bucket")).agg(first).select("bucket", F.struct("p.id", "p.th", "p.n").alias("p"))
+    pivots = stored(pivots, "pivots")
+    out = stored(found.drop("m").join(if_small(pivots), found["key"] == pivots["bucket"]).drop("bucket"), "members")
+    discard(buckets, found, central, pivots)
+    return out
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and (k, component) of all sets."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        sig = stored(keyed.mapInArrow(_sign(width, percent), _SIGNATURES), "signatures")
+        live = sig.where("n_shingles > 0 and doc_id is not null")
+        first = F.min(F.struct("doc_id", "th", "n_shingles", "bands")).alias("r")
+        reps = stored(live.groupBy("set_key").agg(first).select("set_key", "r.*"), "representatives")
+        members = _members(reps)
+        own = (F.col("id") == F.col("p.id")) & (F.col("th") == F.col("p.th"))
+        star = members.where(~own).select(F.col("p.id").alias("a"), F.col("p.th").alias("a_th"), F.col("id").alias("b"), F.col("th").alias("b_th"))
+        verified = _confirm(keyed, star.distinct(), width)
+    edges = stored(_links(verified, percent), "links")
     comp = components(edges)
-    for step in (_more_pivots, _open_pairs):
-        open_ = _open_members(members, comp, verified)
-        if open_.isEmpty():
-            break
-        more = stored(step(open_, linker), "links")
-        edges = edges.unionByName(more)
-        comp = components(edges)
-    discard(members)
+    open_ = _open_members(members, comp, verified)
+    discard(members, verified)
+    if not open_.isEmpty():
+        more = stored(_open_links(open_, percent), "links")
+        done, comp = comp, components(edges.unionByName(more))
+        discard(done, more)
+    discard(edges, open_)
     same = reps.select(F.col("set_key").alias("k"), F.col("doc_id").alias("rep"))
     nodes = same.join(comp, same["rep"] == comp["node"], "left").select("k", F.coalesce("component", "rep").alias("component"))
-    return sig, stored(nodes, "components")
+    nodes = stored(nodes, "components")
+    discard(reps, comp)
+    return sig, nodes
 
 
 def _open_members(members: DataFrame, comp: DataFrame, verified: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component (c), the
-    bucket's largest one (main), and their differences from the bucket's pivot (null
-    where sizes ruled the comparison out)."""
+    """Members of buckets that hold several components, once for each pivot: its id and hash
+    (p_id, p_th), id, th, n, component (c), difference from the pivot (d), and how many shingles
+    of that the pivot has not (k)."""
     known = members.join(comp, members["id"] == comp["node"], "left")
-    known = stored(known.select("key", "id", "th", "n", "central", "p", F.coalesce("component", "id").alias("c")), "known")
-    per = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    big = per.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("cs"), F.max(F.struct("m", "c"))["c"].alias("main"))
-    big = stored(big.where("cs > 1").select("bucket", "main"), "open")
-    some = known.join(if_small(big), known["key"] == big["bucket"]).drop("bucket")
-    d = verified.select(F.col("a").alias("va"), F.col("b").alias("vb"), "lacks", "more")
-    some = some.join(d, (some["p.id"] == d["va"]) & (some["id"] == d["vb"]), "left")
-    none = F.array().cast("array<long>")
-    own = F.col("id") == F.col("p.id")
-    out = some.select(
-        "key", "id", "th", "n", "central", F.col("p.id").alias("pivot"), F.col("p.n").alias("p_n"), "c", "main",
-        F.when(own, none).otherwise(F.col("lacks")).alias("lacks"), F.when(own, none).otherwise(F.col("more")).alias("more"),
+    known = stored(known.select("key", "id", "th", "n", F.col("p.id").alias("p_id"), F.col("p.th").alias("p_th"), F.coalesce("component", "id").alias("c")), "known")
+    some = known.groupBy(F.col("key").alias("bucket")).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    some = stored(some.select("bucket"), "open")
+    rows = known.join(if_small(some), known["key"] == some["bucket"]).select("p_id", "p_th", "id", "th", "n", "c").distinct()
+    d = verified.select(
+        F.col("a").alias("va"), F.col("a_th").alias("va_th"), F.col("b").alias("vb"), F.col("b_th").alias("vb_th"),
+        F.concat("lacks", "more").alias("d"), F.size("more").alias("k"),
     )
-    out = stored(out, "open-members")
-    discard(known, big)
+    on = (rows["p_id"] == d["va"]) & (rows["p_th"] == d["va_th"]) & (rows["id"] == d["vb"]) & (rows["th"] == d["vb_th"])
+    out = stored(rows.join(d, on).drop("va", "va_th", "vb", "vb_th"), "open-members")
+    discard(known, some)
     return out
 
 
-def _sides(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return x.select([F.col(k).alias(f"x_{k}") for k in x.columns]), y.select([F.col(k).alias(f"y_{k}") for k in y.columns])
-
-
-def _similar(percent: int) -> Column:
-    """Exact test of two members of a bucket, from their differences with its pivot."""
-    both = F.col("x_p_n") - F.size(F.array_union("x_lacks", "y_lacks")) + F.size(F.array_intersect("x_more", "y_more"))
-    return both * 100 >= (F.col("x_n") + F.col("y_n") - both) * percent
-
-
-def _more_pivots(members: DataFrame, linker: _Linker, k: int = 4) -> DataFrame:
-    """Links of outside members with the ``k`` most central members of the main component."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("central").desc(), "id"))
-    noted = members.where("lacks is not null")
-    tops = noted.where("c = main").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-    x, y = _sides(noted.where("c <> main"), tops)
-    return x.join(y, (x["x_key"] == y["y_key"]) & _similar(linker.percent)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-
-
-def _open_pairs(members: DataFrame, linker: _Linker) -> DataFrame:
-    """All links between members of different components of a bucket."""
-    percent = linker.percent
-    rows = members.where("lacks is not null").select("pivot", "id", "more").distinct()
-    alone = rows.select("pivot", "id", F.explode("more").alias("t")).groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"))
-    alone = alone.where("m = 1").groupBy(F.col("pivot").alias("u_p"), F.col("id").alias("u_id")).agg(F.count(F.lit(1)).alias("u"))
-    alone = stored(alone, "unshared")
-    some = members.join(if_small(alone), (members["pivot"] == alone["u_p"]) & (members["id"] == alone["u_id"]), "left")
-    away = (F.size("lacks") + F.size("more")) / (F.col("p_n") + F.size("more"))
-    some = some.withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).withColumn("d", away).drop("u_p", "u_id", "u")
-    # a member with too many shingles of its own is linked with none
-    some = stored(some.where(F.col("most") * 100 >= F.col("n") * percent), "open-rest")
-    x, y = _sides(some.where("c <> main"), some)
-    shared = F.least("x_most", "y_most")
-    may = (
-        (x["x_key"] == y["y_key"])
-        & (F.col("x_c") != F.col("y_c"))
-        & ((F.col("y_c") == F.col("y_main")) | (F.col("x_id") < F.col("y_id")))
-        & linker.similar_sizes("x_n", "y_n")
-        & (shared * 100 >= (F.col("x_n") + F.col("y_n") - shared) * percent)
-        & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
-    )
-    noted = F.col("x_lacks").isNotNull() & F.col("y_lacks").isNotNull()
-    links = x.join(y, may & noted & _similar(percent)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    bare = some.where("lacks is null").select("key").distinct()
-    if bare.isEmpty():
-        return links
-    cols = [F.col("x_id").alias("a"), F.col("x_th").alias("a_th"), F.col("y_id").alias("b"), F.col("y_th").alias("b_th")]
-    texts = x.join(y, may & ~noted).select(*cols).distinct()
-    return links.unionByName(linker.links(linker.confirm(texts)))
-
+def _open_links(members: DataFrame, percent: int) -> DataFrame:
+    """All links between members of one pivot that are in different components.
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 85) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id, kept: one row per input row."""
+    With differences D from the pivot, ``|x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|``, and a link of x
+    and y means ``|x ^ y| <= n * (100 - percent) / percent`` for the size n of either.  So the overlap
+    of Dx with any partner's is at least |Dx| less that, and at least one; both members then share
+    one of their rarest differences, up to that overlap.
+    """
+    pivot, node = ["p_id", "p_th"], ["p_id", "p_th", "id", "th"]
+    mark = F.transform("d", lambda t, i: F.struct(t.alias("t"), (i >= F.size("d") - F.col("k")).cast("int").alias("own")))
+    each = members.select(*node, F.explode(mark).alias("x")).select(*node, "x.t", "x.own")
+    often = each.groupBy(*pivot, "t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    often = stored(often, "differences")
+    # differences that no other member has are left out: nothing meets through them
+    shared = each.join(if_small(often), [*pivot, "t"])
+    lists = shared.groupBy(*node).agg(F.sum("own").alias("k_shared"), F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts"))
+    rows = members.join(lists, node)
+    most = F.col("n") - F.col("k") + F.col("k_shared")  # shingles that others may have too
+    rows = rows.withColumn("upto", F.floor(most * (100 + percent) / percent) - F.col("n"))  # a partner's greatest size
+    least = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * (100 - percent) / percent))
+    rows = rows.withColumn("prefix", F.slice("ts", F.lit(1), F.greatest(F.size("ts") - least + 1, F.lit(0)).cast("int")))
+    rows = rows.where((F.col("upto") * 100 >= F.col("n") * percent) & (F.size("prefix") > 0))
+    rows = rows.select(*node, "n", "c", "upto", F.explode("prefix.t").alias("t"))
+    rows = stored(rows, "difference-index")
+    x, y = (rows.select([F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "xy")
+    y = y.where("y_upto >= y_n")
+    meet = (F.col("x_p_id") == F.col("y_p_id")) & (F.col("x_p_th") == F.col("y_p_th")) & (F.col("x_t") == F.col("y_t"))
+    may = (  # x is the larger one
+        (F.col("x_c") != F.col("y_c"))
+        & (F.col("y_n") <= F.least("x_n", "x_upto"))
+        & (F.col("x_n") <= F.col("y_upto"))
+        & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+    )
+    ids = ["x_p_id", "x_p_th", "x_id", "x_th", "y_id", "y_th"]
+    pairs = x.join(y, meet & may).select(*ids).distinct()
+    dx = members.select(*[F.col(c).alias(f"x_{c}") for c in node], F.col("d").alias("dx"), F.col("n").alias("nx"))
+    dy = members.select(F.col("p_id").alias("x_p_id"), F.col("p_th").alias("x_p_th"), F.col("id").alias("y_id"), F.col("th").alias("y_th"), F.col("d").alias("dy"), F.col("n").alias("ny"))
+    both = pairs.join(dx, ["x_p_id", "x_p_th", "x_id", "x_th"]).join(dy, ["x_p_id", "x_p_th", "y_id", "y_th"])
+    apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    links = both.where(apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
+    return links.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
+def _near(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``near_duplicates``, and the stored tables they are read from."""
     sig, nodes = _classes(docs, id_col, text, width, percent)
     left = sig.select("doc_id", "th", "n_shingles", "set_key")
     out = left.join(nodes, (left["set_key"] == nodes["k"]) & left["doc_id"].isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select("doc_id", "th", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out, [sig, nodes]
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 85) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, kept: one row per input row."""
+    return _near(docs, id_col, text, width, percent)[0]
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id."""
-    found = stored(near_duplicates(docs, id_col=id_col, text=text, width=width, percent=percent), "near")
+    found, tables = _near(docs, id_col, text, width, percent)
+    found = stored(found, "near")
+    discard(*tables)
     gone = stored(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct(), "gone")
     on = (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_gone_th"])
     out = docs.join(if_small(gone), on, "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    again = not found.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    discard(found)
+    if again:
+        key = F.xxhash64(F.col(text))
+        named = out.where(F.col(id_col).isNotNull()).withColumn("_again_th", key).dropDuplicates([id_col, "_again_th"]).drop("_again_th")
         out = named.unionByName(out.where(F.col(id_col).isNull()))
     return out
 

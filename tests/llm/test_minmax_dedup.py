@@ -81,6 +81,47 @@ def test_short_passage_families(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_links_of_members_unlike_their_pivot(spark):
+    """Where the pivot is linked with one of two linked documents only, whatever their sizes."""
+    rng, rows = random.Random(11), []
+    for f in range(100):
+        word = lambda k, f=f: f"f{f}w{k}"
+        p = [word(k) for k in range(102)]
+        rows += [p, p + [word("x")], p + [word("x"), *(word(f"y{k}") for k in range(17))]]
+    for f in range(20):  # the pivot is much larger than y; x shares y's own part
+        word = lambda k, f=f: f"g{f}w{k}"
+        y = [word(k) for k in range(70)] + [word(f"o{k}") for k in range(16)]
+        rows += [y, y + [word(f"x{k}") for k in range(6)], [word(k) for k in range(100)]]
+    rows = list(enumerate(" ".join(r) for r in rng.sample(rows, len(rows))))
+    want = brute(rows)
+    assert run(spark, rows) == want
+    assert sum(i != c for i, _, c in want) >= 200
+
+
+def test_form_letters_do_not_meet(spark, monkeypatch):
+    """Texts that share a template but not enough stay apart, and few pairs are looked at."""
+    rng, seen = random.Random(12), []
+    base = [f"t{i}" for i in range(100)]
+    rows = [" ".join(base + [f"z{rng.randrange(10**8)}" for _ in range(14)]) for _ in range(400)]
+    rows += [rows[7] + " more", rows[9] + " more", "odd " + rows[11]]
+    rows = list(enumerate(rows))
+    keep = md.stored
+    monkeypatch.setattr(md, "stored", lambda df, label: seen.append((label, (out := keep(df, label)).count())) or out)
+    assert run(spark, rows) == brute(rows)
+    assert all(n < 400 for label, n in seen if label == "difference-index")
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a + " x"), (5, b), (5, b), (9, b + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = md.near_duplicates(df).collect()
+    assert len(got) == 5 and {r["component_id"] for r in got} == {1}  # id 5 links both families
+    assert [r["doc_id"] for r in md.drop_near_duplicates(df).collect()] == [1]
+    kept = md.drop_near_duplicates(spark.createDataFrame([(3, a), (3, b), (3, b), (4, a + " x")], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"][0]) for r in kept.collect()) == [(3, "a"), (3, "b")]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**64, 1000, dtype=np.uint64)
