@@ -8,13 +8,19 @@ distance exceeds a chi-square quantile are rejected.
 A concentration step is one aggregation over all rows: rows are binned by the
 logarithm of their distance, each bin carries counts, sums and cross products, and the
 nearest bins that hold a share ``h`` of the group give the next centre and scatter.
+Languages and all rows are groups too: a source's moments are those of its own nearest rows
+and of ``prior`` rows like its language's, and a language's of ``prior`` rows like all rows', so every
+source has its own estimate, the closer to its language's the fewer rows it has.
+Steps run from two starts, medians with quartile spreads and means with full scatter; each
+group keeps the estimate of the smaller determinant.
+
 Vectors are fixed-point integers, so sums are exact and do not depend on row order.
-No group is ever collected: a hot source costs one partial row per bin and task.
+No group is ever collected: a hot source costs one partial row per bin and task, which meet by
+(group, bin) in a stored table before anything is dealt by group.
 
 Defined cases: null or empty text counts as zero words and fails the base rule; null
-``lang`` or ``source`` is a group value of its own; groups with fewer than
-``min_group`` passing rows use their language's estimate, and languages with fewer use
-the estimate of all rows; equal rows get equal verdicts; an empty table gives an empty
+``lang`` or ``source`` is a group value of its own; a group without passing rows has its
+language's estimate; equal rows get equal verdicts; an empty table gives an empty
 result; other columns of the input are ignored by ``quality_scores`` and kept
 unchanged by ``keep_good``.
 """
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from rowloom.llm._shared import bounded_batches, discard, load, stored
+from rowloom.llm._shared import discard, if_small, load, small_batches, stored
 from rowloom.llm.text_stats import count_text
 
 STAT_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -43,6 +49,9 @@ SCALE = 256
 #: repetition at all, so these scatters would otherwise vanish.
 FLOORS = (0.05, 0.25, 0.2, 0.2, 0.5)
 BINS_PER_OCTAVE = 16
+#: Rows of its parent's kind that count in a group's moments.
+PRIOR = 50
+STARTS = (0, 1)
 
 
 @pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in STAT_NAMES]))
@@ -100,30 +109,29 @@ def _distance(x: list[Column]) -> Column:
     return total
 
 
-MODEL = "grp string, n long, logdet double, " + ", ".join(
-    [f"c{i} double" for i in range(DIM)] + [f"p{i}_{j} double" for i in range(DIM) for j in range(i, DIM)]
-)
+_CELLS = [f"{i}_{j}" for i in range(DIM) for j in range(i, DIM)]
+MOMENTS = [f"s{i}" for i in range(DIM)] + [f"q{c}" for c in _CELLS]
+MODEL = "start int, grp string, logdet double, " + ", ".join([f"c{i} double" for i in range(DIM)] + [f"p{c} double" for c in _CELLS])
 
 
 def _finish(factor: float):
-    """From a group's centre and scatter to the floored, inverted scatter."""
+    """From a group's mean moments to centre and floored, inverted scatter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split(" ")[0] for f in MODEL.split(", ")]
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
-                n = max(int(r["m"]), 1)
-                mean = np.array([r[f"s{i}"] for i in range(DIM)], float) / n / SCALE
+                mean = np.array([r[f"s{i}"] for i in range(DIM)], float) / SCALE
                 cov = np.zeros((DIM, DIM))
                 for i in range(DIM):
                     for j in range(i, DIM):
-                        cov[i, j] = cov[j, i] = float(r[f"q{i}_{j}"]) / n / SCALE**2 - mean[i] * mean[j]
+                        cov[i, j] = cov[j, i] = float(r[f"q{i}_{j}"]) / SCALE**2 - mean[i] * mean[j]
                 cov *= factor
                 cov[np.diag_indices(DIM)] += np.maximum(0, np.square(FLOORS) - np.diag(cov))
                 inv = np.linalg.inv(cov)
                 rows.append(
-                    [r["grp"], int(r["n"]), float(np.linalg.slogdet(cov)[1]), *mean]
+                    [int(r["start"]), r["grp"], float(np.linalg.slogdet(cov)[1]), *mean]
                     + [inv[i, j] for i in range(DIM) for j in range(i, DIM)]
                 )
             yield pd.DataFrame(rows, columns=names)
@@ -133,7 +141,6 @@ def _finish(factor: float):
 
 def _stats_table(docs: DataFrame, id_col: str, text: str, lang: str, source: str) -> DataFrame:
     """doc_id, language and source keys, counts, base verdict and vector; no text."""
-    bounded_batches(docs.sparkSession)
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.to_json(F.array(F.col(lang))).alias("lang_key"),
@@ -144,98 +151,126 @@ def _stats_table(docs: DataFrame, id_col: str, text: str, lang: str, source: str
     return flat.select("*", _base_failed().alias("base_failed"), *_vector())
 
 
-def _levels(stats: DataFrame, min_group: int) -> DataFrame:
-    """For each (language, source): the key of the group whose estimate it uses."""
-    per = stats.groupBy("lang_key", "src_key").agg(
-        F.sum(F.when(~F.col("base_failed"), 1).otherwise(0)).alias("n_src")
-    )
-    by_lang = per.withColumn("n_lang", F.sum("n_src").over(Window.partitionBy("lang_key")))
-    return by_lang.select(
-        F.col("src_key").alias("level_key"),
-        F.when(F.col("n_src") >= min_group, F.col("src_key"))
-        .when(F.col("n_lang") >= min_group, F.col("lang_key"))
-        .otherwise(F.lit("all"))
-        .alias("grp"),
-    )
+def _tree(stats: DataFrame) -> DataFrame:
+    """grp and parent of every source, language, and of all rows (stored)."""
+    per = stats.select("lang_key", "src_key").distinct()
+    rows = per.select(F.col("src_key").alias("grp"), F.col("lang_key").alias("parent"))
+    rows = rows.unionByName(per.select(F.col("lang_key").alias("grp"), F.lit("all").alias("parent")).distinct())
+    top = stats.sparkSession.createDataFrame([("all", None)], "grp string, parent string")
+    return stored(rows.unionByName(top), "groups")
 
 
-def _fit_rows(stats: DataFrame, levels: DataFrame) -> DataFrame:
-    """Every passing row, under each key it may serve: source, language, all."""
+def _fit_rows(stats: DataFrame) -> DataFrame:
+    """Every passing row under its source, its language and all."""
     good = stats.where(~F.col("base_failed"))
-    xs = [f"x{i}" for i in range(DIM)]
-    used = levels.select(F.col("grp").alias("used")).distinct()
-    keyed = good.select(F.explode(F.array("src_key", "lang_key", F.lit("all"))).alias("grp"), *xs)
-    return keyed.join(used, keyed["grp"] == used["used"], "left_semi")
+    return good.select(F.explode(F.array("src_key", "lang_key", F.lit("all"))).alias("grp"), *[f"x{i}" for i in range(DIM)])
+
+
+def _sums() -> list[Column]:
+    x = [F.col(f"x{i}") for i in range(DIM)]
+    return [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
+
+
+def _shrunk(totals: DataFrame, tree: DataFrame, prior: float) -> DataFrame:
+    """Mean moments of each group of ``tree``, with ``prior`` rows like its parent's.
+
+    totals: start, grp, m (rows) and sums.  A row a group and start: few enough to be joined
+    level by level.
+    """
+    base = tree.select("*", F.explode(F.array(*map(F.lit, STARTS))).alias("b_start"))
+    t = totals.withColumnRenamed("grp", "t_grp")
+    own = base.join(t, (base["grp"] == t["t_grp"]) & (base["b_start"] == t["start"]), "left")
+    own = own.select(F.col("b_start").alias("start"), "grp", "parent", F.coalesce("m", F.lit(0)).alias("m"), *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in MOMENTS])
+    own = stored(own, "moments")
+
+    def under(rows: DataFrame, above: DataFrame) -> DataFrame:
+        up = above.select(F.col("start").alias("u_start"), F.col("grp").alias("u_grp"), *[F.col(c).alias(f"u_{c}") for c in MOMENTS])
+        both = rows.join(up, (rows["parent"] == up["u_grp"]) & (rows["start"] == up["u_start"]))
+        return both.select("start", "grp", *[((F.col(c) + prior * F.col(f"u_{c}")) / F.greatest(F.col("m") + prior, F.lit(1e-9))).alias(c) for c in MOMENTS])
+
+    top = own.where("grp = 'all'").select("start", "grp", *[(F.col(c) / F.greatest("m", F.lit(1))).alias(c) for c in MOMENTS])
+    lang = under(own.where("parent = 'all'"), top)
+    out = stored(top.unionByName(lang).unionByName(under(own.where("parent <> 'all'"), lang)), "shrunk")
+    discard(own)
+    return out
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Coordinatewise medians and quartile spreads, exact, from value counts."""
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """The first start: coordinatewise medians and quartile spreads, exact, from value counts."""
     long = rows.select("grp", F.posexplode(F.array(*[f"x{i}" for i in range(DIM)])).alias("dim", "x"))
-    counts = long.groupBy("grp", "dim", "x").count()
+    counts = stored(long.groupBy("grp", "dim", "x").count(), "value-counts")
     w = Window.partitionBy("grp", "dim").orderBy("x")
     cum = counts.select(
         "grp", "dim", "x", F.sum("count").over(w).alias("cum"), F.sum("count").over(Window.partitionBy("grp", "dim")).alias("n")
     )
     at = [F.min(F.when(F.col("cum") >= F.col("n") * p, F.col("x"))).alias(a) for p, a in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))]
-    quart = cum.groupBy("grp", "dim").agg(F.max("n").alias("n"), *at)
+    quart = cum.groupBy("grp", "dim").agg(*at)
     spread = F.greatest((F.col("hi") - F.col("lo")) / SCALE / 1.349, F.element_at(F.array(*map(F.lit, FLOORS)), F.col("dim") + 1))
-    cell = quart.select("grp", "dim", "n", (F.col("mid") / SCALE).alias("c"), (1 / spread**2).alias("p"))
+    cell = quart.select("grp", "dim", (F.col("mid") / SCALE).alias("c"), (1 / spread**2).alias("p"))
     wide = [F.max(F.when(F.col("dim") == i, F.col("c"))).alias(f"c{i}") for i in range(DIM)]
     for i in range(DIM):
         for j in range(i, DIM):
             value = F.max(F.when(F.col("dim") == i, F.col("p"))) if i == j else F.lit(0.0)
             wide.append(value.alias(f"p{i}_{j}"))
-    return cell.groupBy("grp").agg(F.max("n").alias("n"), F.lit(1e300).alias("logdet"), *wide)
+    out = stored(cell.groupBy("grp").agg(*wide).select(F.lit(STARTS[0]).alias("start"), "grp", F.lit(1e300).alias("logdet"), *[f"c{i}" for i in range(DIM)], *[f"p{c}" for c in _CELLS]), "start")
+    discard(counts)
+    return out
+
+
+def _start(rows: DataFrame, tree: DataFrame, prior: float) -> DataFrame:
+    """Both starts of every group."""
+    whole = stored(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), *_sums()).withColumn("start", F.lit(STARTS[1])), "sums")
+    means = _shrunk(whole, tree, prior).where(F.col("start") == STARTS[1]).mapInPandas(_finish(1.0), MODEL)
+    return stored(_quartiles(rows).unionByName(means), "mcd")
 
 
-def _concentrate(rows: DataFrame, model: DataFrame, share: float, factor: float) -> DataFrame:
-    """One concentration step for all groups at once."""
+def _concentrate(rows: DataFrame, model: DataFrame, tree: DataFrame, share: float, factor: float, prior: float) -> DataFrame:
+    """One concentration step for all groups and starts at once."""
+    m = model.withColumnRenamed("grp", "m_grp").drop("logdet")
+    joined = rows.join(if_small(_same_path(m, model)), rows["grp"] == m["m_grp"])
     x = [F.col(f"x{i}") for i in range(DIM)]
-    m = model.withColumnRenamed("grp", "m_grp").drop("n", "logdet")
-    joined = rows.join(m, rows["grp"] == m["m_grp"])
-    binned = joined.select(
-        "grp", *x, F.floor(F.log2(_distance(x) + F.lit(2.0**-20)) * BINS_PER_OCTAVE).cast("int").alias("bin")
-    )
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)]
-    sums += [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-    bins = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("m"), *sums)
-    w = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bins.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0))).withColumn(
-        "n", F.sum("m").over(Window.partitionBy("grp"))
-    )
+    bin_ = F.floor(F.log2(_distance(x) + F.lit(2.0**-20)) * BINS_PER_OCTAVE).cast("int").alias("bin")
+    bins = joined.select("start", "grp", *x, bin_).groupBy("start", "grp", "bin").agg(F.count(F.lit(1)).alias("m"), *_sums())
+    bins = stored(bins, "bins")
+    w = Window.partitionBy("start", "grp")
+    before = F.coalesce(F.sum("m").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = bins.withColumn("before", before).withColumn("n", F.sum("m").over(w))
     near = ranked.where(F.col("before") < F.col("n") * share)
-    names = ["m"] + [f"s{i}" for i in range(DIM)] + [f"q{i}_{j}" for i in range(DIM) for j in range(i, DIM)]
-    total = near.groupBy("grp").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in names])
-    return total.mapInPandas(_finish(factor), MODEL)
+    total = stored(near.groupBy("start", "grp").agg(*[F.sum(c).alias(c) for c in ("m", *MOMENTS)]), "near")
+    new = stored(_shrunk(total, tree, prior).mapInPandas(_finish(factor), MODEL), "mcd")
+    discard(bins, total, model)
+    return new
 
 
-def fit_mcd(stats: DataFrame, *, share: float = 0.75, max_steps: int = 6, min_group: int = 100) -> DataFrame:
-    """Estimates for every group, and which one each (language, source) uses.
+def _same_path(df: DataFrame, stored_df: DataFrame) -> DataFrame:
+    df._rowloom_path = stored_df._rowloom_path
+    return df
 
-    Returns columns level_key and those of the estimate; one row per (language, source).
-    """
+
+def fit_mcd(stats: DataFrame, *, share: float = 0.75, max_steps: int = 6, prior: float = PRIOR) -> DataFrame:
+    """Estimates (grp, logdet, centre c*, inverse scatter p*) of every (language, source), language
+    and of all rows."""
     factor = share / _chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
-    levels = stored(_levels(stats, min_group), "levels")
-    rows = _fit_rows(stats, levels)
-    model = stored(_start(rows), "mcd")
+    tree = _tree(stats)
+    rows = _fit_rows(stats)
+    model = _start(rows, tree, prior)
     last = None
     for _ in range(max_steps):
-        new = stored(_concentrate(rows, model, share, factor), "mcd")
-        discard(model)
-        model = new
+        model = _concentrate(rows, model, tree, share, factor, prior)
         fit = model.agg(F.sum("logdet")).first()[0]
         if fit is None or (last is not None and fit >= last - 1e-9):
             break
         last = fit
-    m = model.withColumnRenamed("grp", "m_grp")
-    out = stored(levels.join(m, levels["grp"] == m["m_grp"]).drop("m_grp"), "estimates")
-    discard(levels, model)
+    best = F.min_by(F.struct(*[c for c in model.columns if c != "grp"]), F.struct("logdet", "start"))
+    out = stored(model.groupBy("grp").agg(best.alias("b")).select("grp", "b.*"), "estimates")
+    discard(tree, model)
     return out
 
 
 def _judged(stats: DataFrame, model: DataFrame, cutoff_p: float) -> DataFrame:
     cutoff = chi2_quantile(cutoff_p, DIM)
-    joined = stats.join(model.drop("n", "logdet"), stats["src_key"] == model["level_key"], "left")
+    m = _same_path(model.withColumnRenamed("grp", "m_grp").drop("start", "logdet"), model)
+    joined = stats.join(if_small(m), stats["src_key"] == m["m_grp"], "left")
     d = _distance([F.col(f"x{i}") for i in range(DIM)])
     return joined.withColumn("distance", d).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
@@ -250,16 +285,12 @@ def quality_scores(
     lang: str = "lang",
     source: str = "source",
     cutoff_p: float = 0.9999,
-    share: float = 0.75,
-    max_steps: int = 6,
-    min_group: int = 100,
+    **fit,
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, distance and group, one row per input row."""
-    stats = stored(_stats_table(docs, id_col, text, lang, source), "stats")
-    model = fit_mcd(stats, share=share, max_steps=max_steps, min_group=min_group)
-    return _judged(stats, model, cutoff_p).select(
-        "doc_id", *STAT_NAMES, "base_failed", "kept", "distance", F.col("grp").alias("fitted_group")
-    )
+    """doc_id, the base counts, base_failed, kept and distance, one row per input row."""
+    with small_batches(docs.sparkSession):
+        stats = stored(_stats_table(docs, id_col, text, lang, source), "stats")
+    return _judged(stats, fit_mcd(stats, **fit), cutoff_p).select("doc_id", *STAT_NAMES, "base_failed", "kept", "distance")
 
 
 def keep_good(
@@ -267,20 +298,14 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    The statistics are taken again in the applying pass: that costs CPU, but spares
-    a shuffle of all texts.
+    Rows that pass the base rules are stored with their vectors, so that every text is
+    counted once and none is shuffled.
     """
-    stats = stored(_stats_table(docs.withColumn("_row", F.lit(0)), "_row", text, lang, source), "stats")
-    model = fit_mcd(stats, **fit)
-    discard(stats)
-    packed = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.to_json(F.array(F.col(lang), F.col(source))).alias("src_key"),
-        _stats(F.col(text)).alias("s"),
-    )
-    flat = packed.select("row", "src_key", *[F.col(f"s.{n}").alias(n) for n in STAT_NAMES])
-    ready = flat.select("*", _base_failed().alias("base_failed"), *_vector())
-    return _judged(ready, model, cutoff_p).where("kept").select("row.*")
+    packed = docs.withColumn("_row", F.struct(*docs.columns))
+    with small_batches(docs.sparkSession):
+        stats = _stats_table(packed, "_row", text, lang, source)
+        good = stored(stats.where("not base_failed").withColumnRenamed("doc_id", "row").drop(*STAT_NAMES), "passing")
+    return _judged(good, fit_mcd(good.drop("row"), **fit), cutoff_p).where("kept").select("row.*")
 
 
 def op7_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:

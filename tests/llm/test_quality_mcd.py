@@ -1,4 +1,3 @@
-import random
 import re
 from collections import Counter
 
@@ -54,28 +53,57 @@ def test_chi2():
     assert qm.chi2_quantile(0.5, 2) == pytest.approx(1.3863, abs=1e-3)
 
 
-def mcd_reference(x, share, steps):
-    """The same concentration steps in numpy, one group."""
-    factor = share / qm._chi2_cdf(qm.chi2_quantile(share, qm.DIM), qm.DIM + 2)
-    n = len(x)
-    s = np.sort(x, axis=0)
+def moments(x):
+    """Rows, sums and cross products of fixed-point rows."""
+    x = x.astype(float)
+    return len(x), x.sum(0), x.T @ x
+
+
+def finish(mean, cross, factor):
+    center = mean / qm.SCALE
+    cov = factor * (cross / qm.SCALE**2 - np.outer(center, center))
+    cov[np.diag_indices(qm.DIM)] += np.maximum(0, np.square(qm.FLOORS) - np.diag(cov))
+    return center, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def quartile_start(x):
+    n, s = len(x), np.sort(x, axis=0)
     at = lambda p: s[int(np.ceil(n * p)) - 1] / qm.SCALE
-    center, spread = at(0.5), np.maximum((at(0.75) - at(0.25)) / 1.349, qm.FLOORS)
-    inv, last = np.diag(1 / spread**2), None
+    return at(0.5), np.diag(1 / np.maximum((at(0.75) - at(0.25)) / 1.349, qm.FLOORS) ** 2), 1e300
+
+
+def shrunk(parts, tree, prior):
+    """Mean moments by group; tree: group -> parent, parents first."""
+    out = {}
+    for g, up in tree.items():
+        m, s, q = parts.get(g, (0, np.zeros(5), np.zeros((5, 5))))
+        out[g] = (s / max(m, 1), q / max(m, 1)) if up is None else ((s + prior * out[up][0]) / max(m + prior, 1e-9), (q + prior * out[up][1]) / max(m + prior, 1e-9))
+    return out
+
+
+def plain_mcd(rows, share=0.75, steps=6, prior=qm.PRIOR):
+    """Estimates by group from rows (language key, source key, vector): the same steps in numpy."""
+    factor = share / qm._chi2_cdf(qm.chi2_quantile(share, qm.DIM), qm.DIM + 2)
+    tree = {"all": None} | {r[0]: "all" for r in rows} | {r[1]: r[0] for r in rows}
+    xs = {g: np.array([r[2] for r in rows if g in ("all", r[0], r[1])]) for g in tree}
+    first = shrunk({g: moments(x) for g, x in xs.items()}, tree, prior)
+    model = {(0, g): quartile_start(xs[g]) for g in tree} | {(1, g): finish(*first[g], 1.0) for g in tree}
+    last = None
     for _ in range(steps):
-        d = x / qm.SCALE - center
-        dist = np.einsum("ni,ij,nj->n", d, inv, d)
-        bins = np.floor(np.log2(dist + 2.0**-20) * qm.BINS_PER_OCTAVE)
-        edge = np.sort(bins)[int(np.ceil(n * share)) - 1]
-        near = x[bins <= edge] / qm.SCALE
-        center = near.mean(0)
-        cov = factor * (near.T @ near / len(near) - np.outer(center, center))
-        cov[np.diag_indices(qm.DIM)] += np.maximum(0, np.square(qm.FLOORS) - np.diag(cov))
-        inv, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-        if last is not None and det >= last - 1e-9:
+        near = {}
+        for (k, g), (center, inv, _) in model.items():
+            d = xs[g] / qm.SCALE - center
+            bins = np.floor(np.log2(np.einsum("ni,ij,nj->n", d, inv, d) + 2.0**-20) * qm.BINS_PER_OCTAVE)
+            edge = np.sort(bins)[int(np.ceil(len(bins) * share)) - 1]
+            near[k, g] = moments(xs[g][bins <= edge])
+        model = {}
+        for k in qm.STARTS:
+            model |= {(k, g): finish(*m, factor) for g, m in shrunk({g: near[k, g] for g in tree}, tree, prior).items()}
+        fit = sum(m[2] for m in model.values())
+        if last is not None and fit >= last - 1e-9:
             break
-        last = det
-    return center, inv
+        last = fit
+    return {g: min((model[k, g] for k in qm.STARTS), key=lambda m: m[2]) for g in tree}
 
 
 def test_estimates_match_numpy_and_resist_outliers(spark):
@@ -84,21 +112,43 @@ def test_estimates_match_numpy_and_resist_outliers(spark):
     x = np.concatenate([good, rng.normal([900, 900, 0, 0, 1500], 5, (120, 5))]).round().astype(int)
     cols = ["doc_id", "lang_key", "src_key", "base_failed"] + [f"x{i}" for i in range(5)]
     stats = spark.createDataFrame([(i, "l", "s", False, *map(int, r)) for i, r in enumerate(x)], cols)
-    m = qm.fit_mcd(stats, max_steps=6).first()
-    center, inv = mcd_reference(x, 0.75, 6)
-    assert np.allclose([m[f"c{i}"] for i in range(5)], center) and m["grp"] == "s"
-    assert np.allclose([m[f"p{i}_{j}"] for i in range(5) for j in range(i, 5)], [inv[i, j] for i in range(5) for j in range(i, 5)])
-    dev = x / qm.SCALE - center
-    far = np.einsum("ni,ij,nj->n", dev, inv, dev) > qm.chi2_quantile(0.9999, 5)
+    want = plain_mcd([("l", "s", r) for r in x])
+    for r in qm.fit_mcd(stats, max_steps=6).collect():
+        center, inv, _ = want[r["grp"]]
+        assert np.allclose([r[f"c{i}"] for i in range(5)], center)
+        assert np.allclose([r[f"p{i}_{j}"] for i in range(5) for j in range(i, 5)], [inv[i, j] for i in range(5) for j in range(i, 5)])
+    dev = x / qm.SCALE - want["s"][0]
+    far = np.einsum("ni,ij,nj->n", dev, want["s"][1], dev) > qm.chi2_quantile(0.9999, 5)
     assert far[600:].all() and far[:600].mean() < 0.01
 
 
-def test_small_groups_use_their_language(spark):
-    rng = random.Random(2)
-    words = [f"wo{i}rd" for i in range(300)]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(80)), "en", f"s{i % 40}") for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert {r["fitted_group"] for r in qm.quality_scores(df).select("fitted_group").distinct().collect()} == {'["en"]'}
+def test_verdicts_on_documents_match_numpy(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = qm._stats_table(docs, "doc_id", "text", "lang", "source").collect()
+    vector = lambda r: [r[f"x{i}"] for i in range(qm.DIM)]
+    model = plain_mcd([(r["lang_key"], r["src_key"], vector(r)) for r in rows if not r["base_failed"]])
+    got = {r["doc_id"]: r for r in qm.op7_quality_mcd(spark, sf).collect()}
+    cutoff = qm.chi2_quantile(0.9999, qm.DIM)
+    for r in rows:
+        if r["src_key"] in model:
+            d = np.array(vector(r)) / qm.SCALE - model[r["src_key"]][0]
+            dist = d @ model[r["src_key"]][1] @ d
+            assert got[r["doc_id"]]["distance"] == pytest.approx(dist, rel=1e-6, abs=1e-5)
+            assert got[r["doc_id"]]["kept"] == (not r["base_failed"] and dist <= cutoff)
+
+
+def test_estimates_move_from_the_language_to_the_source(spark):
+    """The more rows a source has, the more its centre is its own; no size switches."""
+    rng = np.random.default_rng(3)
+    sizes, rows = [3, 30, 300], []
+    for k, n in enumerate(sizes):
+        rows += [("l", f"s{k}", r) for r in rng.normal([450, 0, 0, 0, 1800], 20, (n, 5)).round().astype(int)]
+    rows += [("l", "big", r) for r in rng.normal([450, 0, 0, 0, 1500], 20, (3000, 5)).round().astype(int)]
+    cols = ["doc_id", "lang_key", "src_key", "base_failed"] + [f"x{i}" for i in range(5)]
+    stats = spark.createDataFrame([(i, a, b, False, *map(int, r)) for i, (a, b, r) in enumerate(rows)], cols)
+    c = {r["grp"]: r["c4"] * qm.SCALE for r in qm.fit_mcd(stats).collect()}
+    assert 1500 - 10 < c["big"] < c["s0"] < c["s1"] < c["s2"] < 1800 + 10
+    assert set(c) == {"all", "l", "big", "s0", "s1", "s2"}
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
