@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding (9): Aho-Corasick automaton and one-pass Viterbi.
 
 Method: an Aho-Corasick automaton over all pieces runs once over the text; at each
-position its output links name every piece that ends there, and the best segmentation
-up to the position is relaxed from those of the pieces' starts.  For unigram models the
-best one has the greatest sum of scores.  For BPE models (the installed vocabulary) a
-sum of merge ranks would not give the ids that the model means; there a piece may
-follow the best segmentation before it only if merging the two pieces' characters yields exactly those two,
-which holds for one piece at each position and gives the model's own ids.
-
-No piece crosses the start of a new word, so words are encoded once and remembered.
+position its output links name every piece that ends there, and the best score up to the
+position is relaxed from those of the pieces' starts.  For unigram models that gives the
+greatest sum of scores.  For BPE models (the installed vocabulary) the greatest sum of merge ranks
+would not give the ids that the model means; there a link is relaxed only if it is
+admissible: merging the characters of the piece and of the one before it yields exactly those two.
+That holds for one link at each position, so the constraint decides, and gives the model's own ids.
+
+No piece crosses the start of a new word, so words are encoded once and remembered, as long as
+they are short; the memory for words and for admissible neighbours is bounded.
 Characters outside the vocabulary become byte pieces, or the unknown piece in models
 without bytes.  Decoding is the exact inverse except that the word mark U+2581 in a
 text reads as a space, as it does in SentencePiece itself.
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import bounded_batches, load
+from rowloom.llm._shared import load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_REMEMBER = 300_000
+#: Remembered words and their greatest length, and remembered pairs of pieces.
+_REMEMBER, _LENGTH, _PAIRS = 300_000, 64, 2_000_000
 
 
 class PieceTable:
@@ -68,7 +70,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> list[int]:
         ids = self.encode(word)
-        if len(self) < _REMEMBER:
+        if len(self) < _REMEMBER and len(word) <= _LENGTH:
             self[word] = ids
         return ids
 
@@ -115,36 +117,34 @@ class PieceCodec:
         """Whether merging the characters of both pieces (of one, at the start) leaves them."""
         p = self.t.pieces
         whole = [p[piece]] if before < 0 else [p[before], p[piece]]
-        found = self.follows[before * 65536 + piece] = self.merged("".join(whole)) == whole
+        if len(self.follows) >= _PAIRS:
+            self.follows.clear()
+        found = self.follows[(before + 1) * len(p) + piece] = self.merged("".join(whole)) == whole
         return found
 
     def _segment(self, s: str) -> list[int]:
         """Ids of a string of known characters."""
-        n = len(s)
-        last, size_at = [None] * (n + 1), [0] * (n + 1)
-        last[0] = -1
-        if self.t.bpe:
-            follows = self.follows.get
-            for end, (i, size) in self.automaton.iter(s):
-                end += 1
-                if last[end] is None:
-                    before = last[end - size]
-                    if before is not None:
-                        fits = follows(before * 65536 + i)
-                        if fits or (fits is None and self.may_follow(before, i)):
-                            last[end], size_at[end] = i, size
-        else:
-            best = [0.0] * (n + 1)
-            scores = self.t.scores
-            for end, (i, size) in self.automaton.iter(s):
-                end += 1
-                if last[end - size] is not None:
-                    score = best[end - size] + scores[i]
-                    if last[end] is None or score > best[end]:
-                        best[end], last[end], size_at[end] = score, i, size
+        n, pieces, scores, bpe, follows = len(s), len(self.t.pieces), self.t.scores, self.t.bpe, self.follows.get
+        best, last, size_at = [None] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for end, (i, size) in self.automaton.iter(s):
+            end += 1
+            start = end - size
+            score = best[start]
+            if score is None:
+                continue
+            known = best[end]
+            if known is not None and (bpe or score + scores[i] <= known):  # a second link is never admissible
+                continue
+            if bpe:
+                before = last[start]
+                fits = follows((before + 1) * pieces + i)
+                if not (self.may_follow(before, i) if fits is None else fits):
+                    continue
+            best[end], last[end], size_at[end] = score + scores[i], i, size
         out, at = [], n
         while at:
-            if last[at] is None:  # a gap of a unigram vocabulary
+            if best[at] is None:  # a gap of a unigram vocabulary
                 return [i for c in s for i in ([self.ids[c]] if c in self.ids else self._unknown(c))]
             out.append(last[at])
             at -= size_at[at]
@@ -188,7 +188,6 @@ _ENCODED = "doc_id long, n_tokens long, ids array<int>, exact boolean"
 
 def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
-    bounded_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +211,6 @@ def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_
 
 def decode_documents(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
-    bounded_batches(encoded.sparkSession)
     table = encoded.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

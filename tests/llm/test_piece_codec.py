@@ -64,6 +64,37 @@ def test_unigram_takes_the_best_sum():
     assert c.encode("a?b").tolist().count(0) == 1
 
 
+def test_one_link_at_each_position_is_admissible(codec):
+    rng = random.Random(5)
+    for _ in range(300):
+        w = pc.MARK + "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 9)))
+        last = {0: -1}
+        for end in range(1, len(w) + 1):
+            fits = [codec.ids[w[at:end]] for at in range(end) if w[at:end] in codec.ids and at in last and codec.may_follow(last[at], codec.ids[w[at:end]])]
+            assert len(fits) == 1
+            last[end] = fits[0]
+
+
+def test_large_vocabularies_and_full_caches(monkeypatch, library):
+    """More than 65,536 pieces: pairs of pieces keep keys of their own; caches may overflow."""
+    filler = [f"<{i}>" for i in range(70_000)]
+    letters, merges = [pc.MARK, *"abc"], ["ab", "abc", "bc", "ca"]
+    pieces = ["<unk>", *filler, *letters, *merges]
+    scores = [0.0] * (1 + len(filler)) + [-100.0] * len(letters) + [-float(k) for k in range(len(merges))]
+    kinds = [2] + [5] * len(filler) + [1] * (len(letters) + len(merges))
+    small = pc.PieceTable([p for p, k in zip(pieces, kinds) if k != 5], [s for s, k in zip(scores, kinds) if k != 5], [k for k in kinds if k != 5], True, True, 0)
+    large, plain = pc.PieceCodec(pc.PieceTable(pieces, scores, kinds, True, True, 0)), pc.PieceCodec(small)
+    monkeypatch.setattr(pc, "_PAIRS", 3)
+    monkeypatch.setattr(pc, "_REMEMBER", 2)
+    rng = random.Random(6)
+    for _ in range(500):
+        t = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 12)))
+        assert [pieces[i] for i in large.encode(t)] == [small.pieces[i] for i in plain.encode(t)]
+    assert len(large.follows) <= 3 and len(large.known) <= 2
+    c = pc.PieceCodec(pc.PieceTable.read())
+    assert c.encode("z" * 500).tolist() == library.encode("z" * 500) and not any(len(w) > pc._LENGTH for w in c.known)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = pc.encode_documents(odd_docs)
     rows = out.collect()
