@@ -12,8 +12,9 @@ and the most toxic passage of each other text besides random ones as negatives;
 first round takes them by the words' association with toxic texts, later ones by the
 model.  A final one-dimensional logistic fit calibrates the score.
 
-Training uses a bounded sample: at most ``per_label`` labelled texts of each label (the
-smallest hashes of their ids), with words counted over whole texts.  Scoring needs one
+Training uses a bounded sample: at most ``per_label`` labelled texts and ``max_bytes`` bytes of each
+label (the smallest hashes of their ids; a text that no longer fits is passed over), with words counted
+over whole texts.  Scoring needs one
 number per hash bucket, which is broadcast (``BUCKETS`` floats, fixed).
 
 Defined cases: null and empty texts score like the median clean training text; with no labelled text of either label all scores are 0; null ids are scored and
@@ -31,14 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from rowloom.llm._shared import bounded_batches, load
+from rowloom.llm._shared import discard, load, stored
 
 BUCKETS, DIM = 1 << 17, 16
 NGRAMS = (3, 4, 5)
 WINDOW, STRIDE = 8, 4
 PER_LABEL = 2000
-#: Buckets met in fewer training texts are not learned.
-MIN_TEXTS = 4
+#: A bucket met in n training texts counts by n / (n + RARITY): what few texts hold is hardly learned.
+RARITY = 4.0
+#: Training texts are taken by the hashes of their ids up to this many bytes for each label.
+MAX_BYTES = 64 << 20
 EPOCHS, BATCH, RATE = 12, 512, 0.5
 _EDGES = string.punctuation + "«»“”„…–—¿¡"
 
@@ -110,13 +113,13 @@ class _Sample:
         self.flat = rows[order]
         self.sizes = np.bincount(owner, minlength=len(number))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.df, self.pos = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        self.df, self.pos = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for d, y in zip(self.docs, self.y):
             met = np.unique(self.rows_of(np.unique(d))[0])
             self.df[met] += 1
             self.pos[met] += int(y)
-        # buckets of too few texts would only memorise them: they share a row that stays zero
-        self.flat = np.where(self.df[self.flat] >= MIN_TEXTS, self.flat, BUCKETS)
+        # buckets of few texts would only memorise them
+        self.trust = self.df / (self.df + RARITY)
 
     def word_values(self, bucket_values: np.ndarray) -> np.ndarray:
         if not len(self.sizes):
@@ -134,7 +137,7 @@ class _Sample:
         prior = 10 * n1 / (n1 + n0)
         a, b = self.pos + prior, self.df - self.pos + 10 - prior
         z = (np.log(a / (n1 - self.pos + 10)) - np.log(b / (n0 - self.df + self.pos + 10))) / np.sqrt(1 / a + 1 / b)
-        z = np.where((z > 2) & (np.arange(len(z)) < BUCKETS), z, 0.0)
+        z = np.where(z > 2, z, 0.0)
         return np.maximum.reduceat(z[self.flat], self.starts[:-1]) if len(self.flat) else np.empty(0)
 
     def rows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +165,13 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
         return None
     rng = np.random.default_rng(seed)
     data = _Sample(texts, labels)
-    emb = rng.normal(0, 0.1, (BUCKETS + 1, DIM))
-    emb[data.df < MIN_TEXTS] = 0.0
-    emb[BUCKETS] = 0.0
+    emb, trust = rng.normal(0, 0.1, (BUCKETS, DIM)), data.trust
     soft, bias = np.stack([-np.ones(DIM), np.ones(DIM)]) * rng.normal(0, 0.3, DIM), np.zeros(2)
-    emb_g, soft_g, bias_g = np.full(BUCKETS + 1, 1e-6), np.full((2, DIM), 1e-6), np.full(2, 1e-6)
+    emb_g, soft_g, bias_g = np.full(BUCKETS, 1e-6), np.full((2, DIM), 1e-6), np.full(2, 1e-6)
     live = [i for i, d in enumerate(data.docs) if len(d)]
     for epoch in range(EPOCHS):
         picks: list[tuple[np.ndarray, float]] = []
-        values = data.first_values() if epoch == 0 else data.word_values(emb @ (soft[1] - soft[0]))
+        values = data.first_values() if epoch == 0 else data.word_values(emb @ (soft[1] - soft[0]) * trust)
         for i in live:
             d = data.docs[i]
             a, b = windows(len(d))
@@ -186,7 +187,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
             owner = np.repeat(np.arange(len(part)), sizes)
             rows, of = data.rows_of(words)
             vec = np.zeros((len(words), DIM))
-            np.add.at(vec, of, emb[rows])
+            np.add.at(vec, of, emb[rows] * trust[rows, None])
             vec /= data.sizes[words][:, None]
             mean = np.zeros((len(part), DIM))
             np.add.at(mean, owner, vec[inverse])
@@ -201,15 +202,14 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
             g_word /= data.sizes[words][:, None]
             used, back = np.unique(rows, return_inverse=True)
             g = np.zeros((len(used), DIM))
-            np.add.at(g, back, g_word[of])
+            np.add.at(g, back, g_word[of] * trust[rows, None])
             emb_g[used] += (g**2).mean(1)
             emb[used] -= RATE * g / np.sqrt(emb_g[used])[:, None]
-            emb[BUCKETS] = 0.0
             soft_g += g_soft**2
             soft -= RATE * g_soft / np.sqrt(soft_g)
             bias_g += g_bias**2
             bias -= RATE * g_bias / np.sqrt(bias_g)
-    values = emb @ (soft[1] - soft[0])
+    values = emb @ (soft[1] - soft[0]) * trust
     words = data.word_values(values)
     x = np.array([passage_scores(words[data.docs[i]]).max() for i in live])
     y = data.y[live]
@@ -218,7 +218,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, odds: float | None = N
     slope, offset = _calibrate(x, y)
     if odds:
         offset += float(np.log(odds) - np.log(y.sum() / (len(y) - y.sum())))
-    return ToxicModel(values[:BUCKETS].astype(np.float32), slope, offset, float(np.median(x[y == 0])))
+    return ToxicModel(values.astype(np.float32), slope, offset, float(np.median(x[y == 0])))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -238,8 +238,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel | None:
-    """Train on at most ``per_label`` texts of each label that are not held out."""
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> ToxicModel | None:
+    """Train on at most ``per_label`` texts and ``max_bytes`` bytes of each label that are not held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64("l_id"), F.col("l_id")]
@@ -247,7 +249,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LAB
     some = known.where("y = 0").orderBy(*order).limit(per_label).unionByName(known.where("y = 1").orderBy(*order).limit(per_label))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(some), texts["id"] == some["l_id"]).groupBy("id", "y").agg(F.max("text").alias("text"))
-    sample = sorted(rows.collect(), key=lambda r: r["id"])
+    rows = stored(rows, "toxic-sample")
+    sizes = rows.select("id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("id").alias("h")).collect()
+    left, use = {0: max_bytes, 1: max_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"])):
+        if r["size"] <= left[r["y"]]:
+            left[r["y"]] -= r["size"]
+            use.append(r["id"])
+    sample = sorted(rows.where(F.col("id").isin(use)).collect(), key=lambda r: r["id"])  # bounded by per_label and max_bytes
+    discard(rows)
     return train([r["text"] for r in sample], np.array([r["y"] for r in sample], int), odds=n1 / n0 if n0 else None)
 
 
@@ -255,19 +265,19 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, *, id_col: str = "
     """doc_id and score (0 to 1) of every row."""
     if model is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score"))
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.values)
     slope, offset, empty = model.slope, model.offset, model.empty
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        split = [t.lower().split() if t else [] for t in texts]
-        fresh = sorted(set().union(*split))
-        value = dict(zip(fresh, word_values(fresh, shared.value).tolist()))
         out = []
-        for words in split:
-            v = np.fromiter(map(value.__getitem__, words), np.float32, len(words))
-            out.append(passage_scores(v).max() if words else empty)
+        for at in range(0, len(texts), 500):  # the words of a few hundred texts at a time
+            split = [t.lower().split() if t else [] for t in texts.iloc[at : at + 500]]
+            fresh = sorted(set().union(*split))
+            value = dict(zip(fresh, word_values(fresh, shared.value).tolist()))
+            for words in split:
+                v = np.fromiter(map(value.__getitem__, words), np.float32, len(words))
+                out.append(passage_scores(v).max() if words else empty)
         return pd.Series(1 / (1 + np.exp(-np.clip(slope * np.array(out, float) + offset, -30, 30))))
 
     return docs.select(F.col(id_col).alias("doc_id"), score(F.col(text)).alias("score"))

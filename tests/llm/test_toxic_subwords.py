@@ -60,6 +60,37 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9 and (p >= 0.5).mean() > 0.65 and (n < 0.5).mean() > 0.97
 
 
+def test_scores_match_a_plain_version(spark, sf, corpus):
+    """Whole texts, scored one word and one n-gram at a time."""
+    texts, labels, _ = corpus
+    m = tx.train(texts[:300], labels[:300])
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:80]
+    docs += [(1000, ""), (1001, None), (1002, "stupidestt"), (1003, texts[0]), (1004, " \n ")]
+    got = {r["doc_id"]: r["score"] for r in tx.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), m).collect()}
+    for i, t in docs:
+        words = (t or "").lower().split()
+        v = [float(np.mean([m.values[b] for b in tx.subwords(w)])) for w in words]
+        starts = [min(k, max(len(v) - tx.WINDOW, 0)) for k in range(0, max(len(v) - tx.WINDOW, 0) + tx.STRIDE, tx.STRIDE)]
+        x = max(sum(v[a : a + tx.WINDOW]) / len(v[a : a + tx.WINDOW]) for a in starts) if v else m.empty
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))), abs=1e-4)
+
+
+def test_few_labelled_texts_teach_something():
+    clean = ["the cat sat on the mat", "we went to the market", "rain fell all day long", "a quiet evening at home"]
+    texts = [f"{c} you {w} fool" for c, w in zip(clean, ["worthless"] * 4)] + clean
+    m = tx.train(texts, np.array([1] * 4 + [0] * 4))
+    assert score(m, "so worthless indeed") > score(m, "so quiet indeed")
+
+
+def test_sample_is_bounded_in_bytes(spark, corpus):
+    texts, labels, _ = corpus
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:60])] + [(60, "x " * 5_000_000)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels[:60])] + [(60, 0)], "doc_id long, toxic int")
+    a, b = tx.fit_toxicity(docs, known, max_bytes=1 << 20), tx.fit_toxicity(docs.where("doc_id < 60"), known, max_bytes=1 << 20)
+    assert np.array_equal(a.values, b.values)
+    assert tx.fit_toxicity(docs, known, max_bytes=1) is None
+
+
 def test_passages():
     a, b = tx.windows(5)
     assert (a.tolist()[0], b.tolist()[-1]) == (0, 5)
