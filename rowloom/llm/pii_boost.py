@@ -15,7 +15,10 @@ however common unmarked candidates of the same looks are.
 
 Patterns use possessive quantifiers and border checks, so that they are linear in the
 text; they find what the plain patterns find.  All work on texts is in DataFrame
-expressions.
+expressions.  Texts are searched once: candidates are stored, the trees are fitted to their
+counts, and spans are chosen from the stored candidates.  Places come from running sums over a
+text's matches in blocks of the square root of their number, and overlaps with base spans from
+a binary search, so that a text of very many matches stays cheap.
 
 Defined cases: null or empty text has no spans (and the digest of an empty string); null ids
 are kept; repeated rows give equal results; with no candidates nothing is added; an
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import boosting
-from rowloom.llm._shared import load
+from rowloom.llm._shared import load, stored
 
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 BASE = ("email", "ip", "card", "phone")
@@ -72,6 +75,37 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
+def _running(a: Column, fold, both) -> Column:
+    """The folds (``_total`` or ``array_max``) of all beginnings of an array; ``both`` joins two.
+
+    Block by block: n ** 1.5 steps for n values.
+    """
+    def blocks(x: Column) -> Column:
+        k = F.sequence(F.lit(0), F.floor((F.size(x["a"]) - 1) / x["b"]).cast("int"))
+        heads = F.transform(k, lambda i: fold(F.slice(x["a"], i * x["b"] + 1, x["b"])))
+        return _let(F.struct(x["a"].alias("a"), x["b"].alias("b"), heads.alias("heads")), starts)
+
+    def starts(x: Column) -> Column:
+        before = F.transform(x["heads"], lambda _, i: F.when(i == 0, 0).otherwise(fold(F.slice(x["heads"], F.lit(1), F.greatest(i, F.lit(1))))))
+        return _let(F.struct(x["a"].alias("a"), x["b"].alias("b"), before.alias("before")), whole)
+
+    def whole(x: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            at = i % x["b"]
+            block = ((i - at) / x["b"]).cast("int")
+            return both(F.get(x["before"], block), fold(F.slice(x["a"], i - at + 1, at + 1)))
+
+        return F.transform(x["a"], one)
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+    return F.when(F.size(a) > 0, _let(F.struct(a.alias("a"), size.alias("b")), blocks)).otherwise(F.array().cast("array<int>"))
+
+
+def _ends(spans: Column) -> Column:
+    """The greatest end of each span and those before it."""
+    return _running(F.transform(spans, lambda s: s["end"]), F.array_max, F.greatest)
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -108,7 +142,7 @@ def _candidates(kind: str, text: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
             before = F.right(F.get(x["gaps"], i), F.lit(CONTEXT))
             after = F.left(F.get(x["gaps"], i + 1), F.lit(1))
-            start = _total(F.slice(x["g"], F.lit(1), i + 1)) + _total(F.slice(x["m"], F.lit(1), i))
+            start = F.get(x["upto"], i) - F.length(s)
             valid = _valid(kind, s, before)
             size = F.length(s)
             cell = {
@@ -131,11 +165,14 @@ def _candidates(kind: str, text: Column) -> Column:
 
         return F.transform(x["found"], one)
 
-    lengths = lambda a: F.transform(a, F.length)
     parts = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    sized = _let(parts, lambda x: F.struct(x["found"].alias("found"), x["gaps"].alias("gaps"), lengths(x["found"]).alias("m"), lengths(x["gaps"]).alias("g")))
+    def measured(x: Column) -> Column:
+        steps = F.transform(x["found"], lambda s, i: F.length(F.get(x["gaps"], i)) + F.length(s))
+        upto = _running(steps, _total, lambda u, v: u + v)
+        return _let(F.struct(x["found"].alias("found"), x["gaps"].alias("gaps"), upto.alias("upto")), places)
+
     can = text.contains("@") if kind == "email" else text.rlike(test)
-    return F.when(can, _let(sized, places))
+    return F.when(can, _let(parts, measured))
 
 
 def _with_candidates(docs: DataFrame, text: str, name: str = "_found") -> DataFrame:
@@ -161,13 +198,22 @@ class SpanModel:
         return cued | F.coalesce(boosting.column(self.trees, [c[f] for f in FEATURES]) >= F.try_element_at(least, c["name"]), F.lit(False))
 
 
+def _half(text: str) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col(text), F.lit(""))), F.lit(2)).cast("int")
+
+
 def fit_model(docs: DataFrame, *, text: str = "text", precision: float = PRECISION) -> SpanModel:
-    """Trees and thresholds from the candidates of all texts.
+    """Trees and thresholds from the candidates of all texts."""
+    return _fit(_with_candidates(docs.select(_half(text).alias("half"), text), text).select("half", "_found"), precision)
 
-    What reaches the driver is the contingency table, at most 6,000 cells.
+
+def _fit(rows: DataFrame, precision: float = PRECISION) -> SpanModel:
+    """rows: half, _found.
+
+    What reaches the driver is the contingency table, at most the product of the features'
+    ranges (under 7,000 cells).
     """
-    half = F.pmod(F.crc32(F.coalesce(F.col(text), F.lit(""))), F.lit(2)).alias("half")
-    rows = _with_candidates(docs.select(text), text).where(F.size("_found") > 0).select(half, F.explode("_found").alias("c"))
+    rows = rows.where(F.size("_found") > 0).select("half", F.explode("_found").alias("c"))
     cells = rows.groupBy("half", "c.name", *[f"c.{f}" for f in FEATURES]).agg(F.count(F.lit(1)).alias("n"), F.sum("c.y").alias("pos"))
     table = cells.orderBy("half", *FEATURES).collect()
     none = SpanModel([], {})
@@ -186,49 +232,87 @@ def fit_model(docs: DataFrame, *, text: str = "text", precision: float = PRECISI
     return SpanModel(trees, limits)
 
 
+def _meets(base: Column, ends: Column, c: Column) -> Column:
+    """Whether a candidate overlaps a base span (sorted by start, with running ends)."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & F.coalesce(F.get(base, mid)["start"] < c["end"], F.lit(False))
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + F.lit(1.0))).cast("int"))
+    before = F.aggregate(turns, start, step, lambda s: s["lo"])  # base spans that start before its end
+    return F.coalesce(F.get(ends, before - 1) > c["start"], F.lit(False))
+
+
 def _chosen(found: Column, model: SpanModel) -> Column:
     """Base spans, and what the model adds beside them; sorted by kind and place."""
-    base = F.filter(found, lambda c: c["base"])
-    return _let(
-        F.struct(found.alias("all"), base.alias("base")),
-        lambda x: F.array_sort(
-            F.transform(
-                F.filter(
-                    x["all"],
-                    lambda c: c["base"] | (model.adds(c) & ~F.exists(x["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))),
-                ),
-                lambda c: F.struct(c["kind"].alias("order"), c["start"].alias("start"), c["end"].alias("end"), c["name"].alias("name"), c["base"].alias("base")),
-            )
-        ),
-    )
+    base = F.array_sort(F.transform(F.filter(found, lambda c: c["base"]), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+
+    def pick(x: Column) -> Column:
+        some = F.filter(x["all"], lambda c: c["base"] | (model.adds(c) & ~_meets(x["base"], x["ends"], c)))
+        return F.array_sort(
+            F.transform(some, lambda c: F.struct(c["kind"].alias("order"), c["start"].alias("start"), c["end"].alias("end"), c["name"].alias("name"), c["base"].alias("base")))
+        )
+
+    sorted_ = F.struct(found.alias("all"), base.alias("base"))
+    return _let(sorted_, lambda x: _let(F.struct(x["all"].alias("all"), x["base"].alias("base"), _ends(x["base"]).alias("ends")), pick))
 
 
 def find_spans(docs: DataFrame, model: SpanModel | None = None, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, found: array of (order, start, end, name, base), sorted by kind and start."""
-    model = fit_model(docs, text=text) if model is None else model
     rows = _with_candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text")
+    rows = rows.select("doc_id", _half("_text").alias("half"), "_found")
+    if model is None:
+        rows = stored(rows, "candidates")
+        model = _fit(rows)
     some = F.when(F.size("_found") > 0, _chosen(F.col("_found"), model))
     return rows.select("doc_id", some.alias("found"))
 
 
+#: Code points in a chunk of a text that is cut at spans.
+CHUNK = 2048
+
+
+def _cut(chunks: Column, a: Column, b: Column) -> Column:
+    """The text from a to b, from its chunks."""
+    at, end = a % CHUNK, b % CHUNK
+    i, j = ((a - at) / CHUNK).cast("int"), ((b - end) / CHUNK).cast("int")
+    across = F.concat(F.substring(F.get(chunks, i), at + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(chunks, j), F.lit(1), end))
+    return F.when(i == j, F.substring(F.get(chunks, i), at + 1, b - a)).otherwise(across)
+
+
+def _cleaned(text: Column, spans: Column) -> Column:
+    """The text with spans replaced by the name of the first span of each run of overlapping ones."""
+    size = F.length(text)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(size / CHUNK).cast("int")), lambda k: F.substring(text, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def join(x: Column) -> Column:
+        placed = F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("start"), s["name"].alias("name"), F.when(i == 0, 0).otherwise(F.get(x["ends"], i - 1)).alias("from")))
+        parts = F.transform(F.filter(placed, lambda s: s["start"] >= s["from"]), lambda s: F.concat(_cut(x["chunks"], s["from"], s["start"]), F.lit("["), F.upper(s["name"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _cut(x["chunks"], F.element_at(x["ends"], -1), x["size"]))
+
+    parts = F.struct(spans.alias("s"), _ends(spans).alias("ends"), chunks.alias("chunks"), size.alias("size"))
+    return _let(parts, join)
+
+
 def redact(docs: DataFrame, model: SpanModel | None = None, *, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets (overlapping ones by the
-    kind of the first, of the longest if they start together)."""
-    model = fit_model(docs, text=text) if model is None else model
+    kind of the first, of the longest if they start together).
+
+    Rows are stored with their candidates: the patterns cost more than writing the texts.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    rows = _with_candidates(packed, "_text").withColumn("_found", F.when(F.size("_found") > 0, _chosen(F.col("_found"), model)))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(F.concat(acc["out"], gap, F.lit("["), F.upper(s["name"]), F.lit("]")).alias("out"), s["end"].alias("at"))
-        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
-
-    by_place = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("o"), s["end"].alias("end"), s["name"].alias("name"))))
-    whole = F.aggregate(by_place, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    clean = F.when(F.size("_found") > 0, whole).otherwise(F.col("_text"))
-    done = rows.select("_row", clean.alias("_clean"))
+    rows = _with_candidates(packed, "_text").withColumn("half", _half("_text")).drop("_text")
+    if model is None:
+        rows = stored(rows, "candidates")
+        model = _fit(rows)
+    whole = F.col(f"_row.`{text}`")
+    spans = F.transform(_chosen(F.col("_found"), model), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("o"), s["end"].alias("end"), s["name"].alias("name")))
+    some = rows.withColumn("_spans", F.when(F.size("_found") > 0, F.array_sort(spans)))
+    clean = F.when(F.size("_spans") > 0, _cleaned(whole, F.col("_spans"))).otherwise(whole)
+    done = some.select("_row", clean.alias("_clean"))
     return done.select(*[F.col("_clean").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from rowloom.llm import boosting
 from rowloom.llm import pii_boost as pb
@@ -75,6 +77,88 @@ def test_trees_find_tokens_without_cues(spark):
     assert not got[101] and not any(got[200 + i] for i in range(60))
 
 
+CELLS = {
+    "length": lambda s: sum(len(s) >= k for k in (8, 12, 16, 20, 33)),
+    "mix": lambda s: next(k for k, p in enumerate(["^[0-9]+$", "^[^A-Za-z]*$", "^[0-9a-f]+$", "^[0-9A-Z]+$", "(?=.*[A-Z])(?=.*[a-z])", ""]) if re.search(p, s)),
+}
+
+
+def plain_spans(text, model):
+    """All spans of a text: the generators' patterns, features and trees, one match at a time."""
+    text, out = text or "", [(k, a, b) for k, a, b in base(text)]
+    kept = list(out)
+    for kind, (_, pattern) in pb.GENERATORS.items():
+        if kind in pb.BASE:
+            pattern = {"email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"}.get(kind, pattern)
+        for m in regex.finditer(pattern, text):
+            a, b = m.span()
+            if (kind, a, b) in out or any(x < b and a < y for _, x, y in out):
+                continue
+            s, before, after = m[0], text[max(0, a - pb.CONTEXT) : a], text[b : b + 1]
+            gap = before[len(before) - min(len(before), a - max([y for _, x, y in matches(pattern, text) if y <= a], default=0)) :]
+            cue = bool(regex.search(pb.CUES[kind], gap))
+            label = cue or (kind == "secret" and bool(re.search(pb.KEY_FORMS, s)))
+            x = [pb.KINDS.index(kind), CELLS["length"](s), CELLS["mix"](s),
+                 bool(regex.search(r"[\p{L}0-9]$", gap)) + 2 * bool(regex.search(r"^[\p{L}0-9]", after)),
+                 int(bool(re.search("[\"'`]$", gap))), 0 if kind in pb.BY_CUE else int(cue)]
+            score = float(boosting.predict(model.trees, np.array([x]))[0]) if model.trees else -np.inf
+            if (kind in pb.BY_CUE and label) or score >= model.thresholds.get(kind, np.inf) - 1e-9:
+                kept.append((kind, a, b))
+    return sorted(kept, key=lambda k: (pb.KINDS.index(k[0]), *k[1:]))
+
+
+def matches(pattern, text):
+    return [(m[0], *m.span()) for m in regex.finditer(pattern, text)]
+
+
+def test_all_spans_match_a_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = pb.fit_model(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: [(s["name"], s["start"], s["end"]) for s in r["found"] or []] for r in pb.find_spans(docs).collect()}
+    added = 0
+    for i, t in texts.items():
+        want = plain_spans(t, model)
+        added += len(want) - len(base(t))
+        assert got[i] == want, (i, t[:100])
+    assert added > 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 16_000
+    text = " ".join(f"u{i}@x.org" for i in range(n)) + " token = " + hashlib.sha1(b"k").hexdigest() + " 1.2.3.4"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pb.SpanModel([], {})
+    pb.find_spans(df.limit(0), model).collect()
+    began = time.time()
+    spans = pb.find_spans(df, model).collect()[0]["found"]
+    took = time.time() - began
+    want = base(text)
+    assert [(s["name"], s["start"], s["end"]) for s in spans if s["base"]] == want and len(spans) == n + 2
+    began = time.time()
+    clean = pb.redact(df, model).collect()[0]["text"]
+    assert clean == "[EMAIL] " * n + "token = [SECRET] [IP]"
+    assert took < 15 and time.time() - began < 15
+
+
+def test_overlaps_and_long_gaps_are_redacted_like_plain_slices(spark):
+    rng = np.random.default_rng(4)
+    parts = ["a@b.co", "é" * 3000, "1.2.3.4@5.6.7.8", "+1 (555) 123-4567", " ", "漢字 ", "4111 1111 1111 1111", "x" * 2048, "\n", "9.9.9.9"]
+    rows = [(i, " ".join(rng.choice(parts, rng.integers(1, 30)))) for i in range(60)]
+    model = pb.SpanModel([], {})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["found"] or [] for r in pb.find_spans(df, model).collect()}
+    got = {r["doc_id"]: r["text"] for r in pb.redact(df, model).collect()}
+    for i, t in rows:
+        out, at = "", 0
+        for s in sorted(spans[i], key=lambda s: (s["start"], -s["end"])):
+            if s["start"] >= at:
+                out += t[at : s["start"]] + f"[{s['name'].upper()}]"
+            at = max(at, s["end"])
+        assert got[i] == out + t[at:]
+
+
 def test_redaction(spark):
     rows = [(1, "mail me@x.org or +1 (555) 123-4567 now"), (2, "none"), (3, None), (4, "é 4111 1111 1111 1111"), (5, "1.2.3.4@5.6.7.8")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
