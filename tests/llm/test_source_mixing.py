@@ -1,4 +1,5 @@
-import pytest
+import hashlib
+
 from pyspark.sql import functions as F
 
 from rowloom.llm import source_mixing as sm
@@ -48,13 +49,46 @@ def test_epochs_repeat_whole_leaves_before_a_prefix(spark):
     assert m.documents(df).count() == sum(n.values())
 
 
-@pytest.mark.parametrize("rows", [5, 64])
-def test_prefixes_do_not_depend_on_ranges(spark, monkeypatch, rows):
+def test_zero_weights_leave_their_share_to_siblings(spark):
+    # en's only source weighs nothing, so de gets all; a language or domain of weight 0 likewise
+    df = docs(spark, [("en", "z", 50, 10), ("de", "c", 50, 10)])
+    for weights in ({"x/en/z": 0}, {"x/en": 0}):
+        m = sm.Mixture(df, share=0.5, weights=weights, max_epochs=1, domain=F.lit("x"))
+        assert {k: v[0] for k, v in budgets(m).items()} == {("x", "de", "c"): 500}
+    m = sm.Mixture(df, share=0.5, weights={"a": 0}, max_epochs=1, domains={"z": "a", "c": "b"})
+    assert {k: v[0] for k, v in budgets(m).items()} == {("b", "de", "c"): 500}
+
+
+def test_no_token_of_a_budget_is_left_over(spark):
+    spec = [(lang, f"s{k}", 7 + k, 13) for lang in ("en", "de", "fr") for k in range(7)]
+    df = docs(spark, spec)
+    total = sum(n * w for _, _, n, w in spec)
+    for share in (0.1, 0.37, 0.5, 0.99):
+        m = sm.Mixture(df, share=share, weights={"x/en": 3, "x/de/s3": 7, "x/fr/s1": 0.1}, max_epochs=1, domain=F.lit("x"))
+        b = budgets(m)
+        assert sum(v[0] for v in b.values()) == int(total * share)
+        assert all(0 <= v[0] <= n * w for (lang, s, n, w) in spec for k, v in b.items() if k == ("x", lang, s))
+
+
+def test_prefixes_match_a_plain_order(spark):
     df = docs(spark, [("en", "a", 200, 7), ("de", "b", 90, 3)])
-    pick = lambda: {(r["doc_id"], r["epoch"]) for r in sm.Mixture(df, weights={}).selection().collect()}
-    whole = pick()
-    monkeypatch.setattr(sm, "RANGE_ROWS", rows)
-    assert pick() == whole
+    m = sm.Mixture(df, weights={}, max_epochs=2, share=0.7)
+    want = set()
+    rows = [(r["doc_id"], r["lang"], r["source"]) for r in df.collect()]
+    for (domain, lang, source), (_, full, rest) in budgets(m).items():
+        ids = [i for i, x, y in rows if (x, y) == (lang, source)]
+        want |= {(i, e) for i in ids for e in range(full)}
+        draw = lambda i: int(hashlib.md5(f"{sm.SEED}:{full}:{i}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        words = 7 if source == "a" else 3
+        want |= {(i, full) for k, i in enumerate(sorted(ids, key=draw), 1) if k * words <= rest}
+    assert {(r["doc_id"], r["epoch"]) for r in m.selection().collect()} == want
+
+
+def test_rows_without_ids_are_drawn_by_their_texts(spark):
+    rows = [(None, f"a b c {i // 2}", "en", "s") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [r["text"] for r in sm.Mixture(df, share=0.5, weights={}, max_epochs=1).documents(df).collect()]
+    assert 196 <= len(got) <= 200 and all(got.count(t) == 2 for t in got)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
