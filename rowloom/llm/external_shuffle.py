@@ -8,7 +8,10 @@ order is dealt to the shards in turn, so that shard row counts differ by one at
 
 The number of buckets follows from the total size, so a bucket has a bounded size at
 any scale; hot sources or copies spread over all buckets, as the hash covers id and
-text.  A seeded ``shuffle`` depends on partition and row order; both are fixed here
+text.  Rows that are equal in both are counted first: each set of them becomes one row and its count,
+which is dealt out again in numbered pieces, so that equal rows too spread over all buckets and
+every piece of work stays the same when it is done again.  A seeded ``shuffle`` depends
+on partition and row order; both are fixed here
 (explicit partitions by bucket, sorted buckets, sorted records), so that a lost
 executor's tasks give the same permutation again.
 
@@ -24,12 +27,32 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import load, stored
+from rowloom.llm._shared import discard, if_small, load, stored
 
 SEED = 20240613
-BUCKET_BYTES = 8 << 20
-#: Least number of buckets (small inputs should use more than a few tasks).
-MIN_BUCKETS = 48
+BUCKET_BYTES = 4 << 20
+#: Least number of buckets (small inputs should use more than a few tasks), and most tasks of
+#: the second pass; beyond, a task takes several buckets, one after another.
+MIN_BUCKETS, MAX_TASKS = 24, 50_000
+#: Equal rows that one task deals out.
+PIECE = 1000
+
+
+def _numbered(rows: DataFrame, tasks: int) -> DataFrame:
+    """rows: doc_id, text, size.  Adds ``nth``: 0, and a number for each of several equal rows."""
+    key = rows.select("doc_id", F.xxhash64("text").alias("th"))
+    again = key.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    again = stored(again.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")), "repeated")
+    if again.isEmpty():
+        discard(again)
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    on = rows["doc_id"].eqNullSafe(again["r_id"]) & (F.xxhash64("text") == again["r_th"])
+    once = rows.join(if_small(again), on, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    sets = rows.join(if_small(again), on, "left_semi").groupBy("doc_id", "text", "size").agg(F.count(F.lit(1)).alias("m"))
+    pieces = sets.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / PIECE)))).repartition(tasks, "doc_id", F.xxhash64("text"), "piece")
+    first = F.col("piece") * PIECE
+    nth = F.explode(F.sequence(first, F.least(first + PIECE, F.col("m")) - 1))
+    return once.unionByName(pieces.select("doc_id", "text", "size", nth.alias("nth")))
 
 
 def external_shuffle(
@@ -47,16 +70,26 @@ def external_shuffle(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), (F.octet_length(body) + 16).cast("long").alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     n = max(min_buckets, math.ceil(total / bucket_bytes))
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(n)).cast("int"))
+    tasks = min(n, MAX_TASKS)
+    place = F.xxhash64(F.lit(seed), "doc_id", "text", F.nullif("nth", F.lit(0)))
+    placed = _numbered(rows, tasks).withColumn("bucket", F.pmod(place, F.lit(n)).cast("int")).drop("nth")
 
     counts = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "bucket-starts")
-
-    scattered = placed.repartition(n, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "text", "size")).alias("records"))
+    # starts of groups of about sqrt(n) buckets, then of the buckets in each
+    many = math.isqrt(n) + 1
+    grouped = counts.withColumn("g", F.floor(F.col("bucket") / many).cast("int"))
+    heads = stored(grouped.groupBy("g").agg(F.sum("n").alias("t")), "bucket-groups")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = heads.select(F.col("g").alias("h"), F.coalesce(F.sum("t").over(before(Window.orderBy("g"))), F.lit(0)).alias("top"))
+    inner = F.coalesce(F.sum("n").over(before(Window.partitionBy("g").orderBy("bucket"))), F.lit(0))
+    starts = grouped.select("g", F.col("bucket").alias("b"), inner.alias("inner"))
+    offsets = stored(starts.join(tops, starts["g"] == tops["h"]).select("b", (F.col("top") + F.col("inner")).alias("start")), "bucket-starts")
+    discard(counts, heads)
+
+    scattered = placed.repartition(tasks, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "text", "size")).alias("records"))
     ordered = scattered.sortWithinPartitions("bucket").withColumn("records", F.array_sort("records"))
     shuffled = ordered.select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
-    dealt = shuffled.join(F.broadcast(offsets) if n <= 100_000 else offsets, shuffled["bucket"] == offsets["b"])
+    dealt = shuffled.join(if_small(offsets), shuffled["bucket"] == offsets["b"])
     flat = dealt.select("start", F.posexplode("records").alias("at", "r")).withColumn("place", F.col("start") + F.col("at"))
     return flat.select(
         "r.doc_id",

@@ -41,6 +41,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert out.count() == odd_docs.count() and es.external_shuffle(no_docs, 3).count() == 0
 
 
+def test_equal_rows_spread_over_buckets(spark, monkeypatch):
+    """20,000 equal rows without an id do not meet in one bucket, nor in one task's collection."""
+    df = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'the same' AS text")
+    df = df.unionByName(spark.range(500).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text"))
+    out = es.external_shuffle(df, 7, min_buckets=16)
+    rows = out.collect()
+    assert Counter(r["text"] for r in rows)["the same"] == 20_000 and len(rows) == 20_500
+    check(rows, 7)
+    assert [(r["doc_id"], r["shard"], r["slot"]) for r in out.collect()] == [(r["doc_id"], r["shard"], r["slot"]) for r in rows]
+    sizes = []
+    keep = es.stored
+    monkeypatch.setattr(es, "stored", lambda t, label: (o := keep(t, label), sizes.extend(r["n"] for r in o.collect()) if label == "bucket-counts" else None)[0])
+    es.external_shuffle(df, 7, min_buckets=16)
+    assert len(sizes) == 16 and max(sizes) < 1600
+    at = [r["shard"] + 7 * r["slot"] for r in rows if r["doc_id"] is not None]
+    assert abs(sum(at) / len(at) / 10_250 - 1) < 0.1  # the others stand anywhere among them
+
+
 def test_write(spark, tmp_path):
     df = spark.range(100).selectExpr("id AS doc_id", "'x' AS text")
     es.write_shards(df, str(tmp_path / "out"), 4)
