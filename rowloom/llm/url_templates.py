@@ -1,20 +1,25 @@
 """URL filters (3): rules, then a tree of path templates with smoothed labelled purity.
 
 Method: explicit rules (host suffix and path prefix, the longest wins) decide first.
-For the rest, each host's paths form a tree of segments.  Segments that vary are
-generalised into wildcards: those that hold digits or hashes by their shape, and those
-of which a parent has many, each rare.  At every depth, branches whose share of bad labels does
-not differ significantly from that of their siblings are merged (their counts are pooled), and
+For the rest, each host's paths form a tree of segments, built level by level.  Segments that vary
+are generalised into wildcards: those that hold digits or hashes by their shape, and the rare children
+of a branch, whatever its frequent ones hold: with the branch's children that are no more
+frequent than it, a child is folded if these are more kinds than the square root of their pages
+and it holds less than that root itself.  The next level continues below the wildcard, so what
+stands under a variable segment is one branch.  At every depth, branches whose share of bad labels
+does not differ significantly from that of their siblings are merged (their counts are pooled), and
 those that differ are merged with others that differ alike.  A branch's share is smoothed with its
 parent's as the prior, from the overall share through the host down to the template; a label
 counts at the deepest level that holds it only, and one by a rule's path prefix not above that
 prefix, as the rule says nothing of the host's other paths.  A template is rejected when its smoothed share
 reaches a limit; one without labels has its nearest labelled ancestor's.
-Labels are a column of the table or, by default, host names with well-known spam words
-(bad) and the verdicts of the rules, which templates generalise within a host.
+Labels are a column of the table or, by default, host names with well-known words of spam, advertising
+and tracking hosts (bad) and the verdicts of the rules, which templates generalise within a host.
 
-Hosts, templates and segments are only counted with partial aggregation; a hot host's
-rows meet a template's verdict through a join that adaptive execution can split.
+Hosts, templates and segments are only counted with partial aggregation; a branch's children meet as a
+histogram of their counts, which has at most about the root of twice its pages rows; a hot host's
+rows meet a template's verdict through a join that adaptive execution can split.  What follows the
+``DEPTH``-th segment of a path is one segment.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule
 and are judged like any template of the empty host; repeated rows get equal results;
@@ -30,10 +35,17 @@ from rowloom.llm._shared import ascii_lower, discard, if_small, load, stored
 
 #: (verdict, host suffix, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: A parent with more distinct segments than this has a wildcard for those whose share is at most RARE.
-MANY, RARE = 32, 0.1
-#: Words in host names that label a page as bad.
-SEEDS = r"(^|[.-])(casino|bets?|poker|pills?|viagra|adult|porn|xxx)([.-]|$)"
+#: Most segments of a path; the rest of a longer one is its last segment.
+DEPTH = 16
+#: Words in host names that label a page as bad: gambling, drugs, adult, scams, advertising, malware.
+BAD_WORDS = """
+    casino casinos bet bets betting poker slots roulette jackpot lottery gambling
+    pill pills viagra cialis pharmacy steroids weed
+    adult porn porno sex xxx escort escorts nude camgirls
+    spam scam phishing malware warez cracks keygen replica payday
+    ad ads adserver adserv banner banners track tracker trackers tracking clicktrack popup popunder
+""".split()
+SEEDS = rf"(^|[.-])({'|'.join(BAD_WORDS)})([.-]|$)"
 #: Weight of the prior, and the share of bad labels at which a template is rejected.
 PRIOR, LIMIT = 4.0, 0.6
 #: Branches are pooled while a two-sample test of their shares stays below this (about 99 %).
@@ -69,42 +81,51 @@ def _shape(segment: Column) -> Column:
     return F.regexp_replace(hashed, "[0-9]+", "{n}")
 
 
+def _segments(path: Column) -> Column:
+    """The shaped segments of a path, at most DEPTH."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    rest = F.array_join(F.slice(parts, F.lit(DEPTH), F.greatest(F.size(parts) - DEPTH + 1, F.lit(0))), "/")
+    bounded = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(rest))).otherwise(parts)
+    return F.transform(bounded, _shape)
+
+
+def _folded(each: DataFrame) -> DataFrame:
+    """each: host, above, segment, n.  The children that become a wildcard (host, above, segment)."""
+    on = ["host", "above"]
+    counts = stored(each.groupBy(*on, "n").agg(F.count(F.lit(1)).alias("kinds")), "histogram")
+    upto = Window.partitionBy(*on).orderBy("n")
+    pages, kinds = F.sum(F.col("n") * F.col("kinds")).over(upto), F.sum("kinds").over(upto)
+    rare = (kinds * kinds > pages) & (F.col("n") * F.col("n") < pages)
+    rare = stored(counts.withColumn("rare", rare).where("rare").select(*on, "n"), "rare")
+    out = stored(each.join(if_small(rare), [*on, "n"], "left_semi").select(*[F.col(c).alias(f"f_{c}") for c in (*on, "segment")]), "folded")
+    discard(counts, rare)
+    return out
+
+
 def templates(pages: DataFrame, deepest: int = 0) -> DataFrame:
     """pages: host, path, bad (1, 0 or null), reach (the least depth at which the label counts, at
     most ``deepest``).  Host, segments, template, and bad and known: counts by depth 0 to ``deepest``."""
-    shaped = pages.withColumn("segments", F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _shape))
-    counted = shaped.groupBy("host", "segments").agg(
+    counted = pages.withColumn("segments", _segments(F.col("path"))).groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.coalesce(F.sum(F.when(F.col("reach") <= k, F.col("bad"))), F.lit(0)) for k in range(deepest + 1)]).alias("bad"),
         F.array(*[F.count(F.when(F.col("reach") <= k, F.col("bad"))) for k in range(deepest + 1)]).alias("known"),
     )
-    paths = stored(counted, "paths")
-
-    steps = paths.select("host", "segments", "n", F.posexplode("segments").alias("depth", "segment"))
-    above = F.array_join(F.slice("segments", F.lit(1), F.col("depth")), "/")
-    steps = steps.withColumn("above", above)
-    each = stored(steps.groupBy("host", "above", "segment").agg(F.sum("n").alias("n")), "segments")
-    parents = each.groupBy("host", "above").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-    wide = stored(parents.where(F.col("kinds") > MANY), "parents")
-    often = each.join(if_small(wide), ["host", "above"]).where(F.col("n") > RARE * F.col("all"))
-    often = often.groupBy("host", "above").agg(F.collect_list("segment").alias("often"))  # less than 1 / RARE
-    wide, parents = wide.join(often, ["host", "above"], "left"), wide
-    wide = stored(wide.select(F.col("host").alias("w_host"), F.col("above").alias("w_above"), "often"), "wildcards")
-
-    open_ = steps.join(wide, (steps["host"] == wide["w_host"]) & (steps["above"] == wide["w_above"]), "left")
-    literal = F.col("w_host").isNull() | F.coalesce(F.array_contains("often", F.col("segment")), F.lit(False))
-    part = F.when(literal, F.col("segment")).otherwise(F.lit("*"))
-    parts = F.array_sort(F.collect_list(F.struct("depth", part.alias("part"))))
-    named = open_.groupBy("host", "segments").agg(parts.alias("p"))
-    named = named.select(
-        F.col("host").alias("t_host"),
-        F.col("segments").alias("t_segments"),
-        F.concat(F.lit("/"), F.array_join(F.transform("p", lambda x: x["part"]), "/")).alias("template"),
-    )
-    out = paths.join(named, (paths["host"] == named["t_host"]) & (paths["segments"] == named["t_segments"]))
-    done = stored(out.select("host", "segments", "n", "bad", "known", "template"), "templates")
-    discard(paths, each, parents, wide)
-    return done
+    paths = stored(counted.withColumn("above", F.lit("")), "paths")
+    long = paths.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(long):  # at most DEPTH
+        rows = paths.withColumn("segment", F.get("segments", F.lit(level)))
+        each = stored(rows.where("segment is not null").groupBy("host", "above", "segment").agg(F.sum("n").alias("n")), "segments")
+        folded = _folded(each)
+        on = (rows["host"] == folded["f_host"]) & (rows["above"] == folded["f_above"]) & (rows["segment"] == folded["f_segment"])
+        marked = rows.join(if_small(folded), on, "left")
+        part = F.when(F.col("f_host").isNotNull(), "*").otherwise(F.col("segment"))
+        above = F.when(F.col("segment").isNull(), F.col("above")).otherwise(F.concat("above", F.lit("/"), part))
+        new = stored(marked.select("host", "segments", "n", "bad", "known", above.alias("above")), "paths")
+        discard(each, folded, paths)
+        paths = new
+    out = paths.withColumnRenamed("above", "template")
+    out._rowloom_path = paths._rowloom_path
+    return out
 
 
 def _alike(bad: Column, known: Column, bad2: Column, known2: Column) -> Column:
@@ -199,9 +220,11 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url: str = "url",
         reach = F.when(known.isNull() & (F.col("rule") == h + p), _reach(p)).otherwise(reach)
     deepest = max((_reach(p) for _, _, p in rules), default=0)
     ruled = ruled.withColumn("bad", F.coalesce(known, by_rule)).withColumn("reach", reach).drop("given")
-    judged = judge_templates(templates(ruled.select("host", "path", "bad", "reach"), deepest), deepest)
-    judged = stored(judged, "judged").withColumnRenamed("host", "g_host").withColumnRenamed("segments", "g_segments")
-    shaped = ruled.withColumn("segments", F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _shape))
+    paths = templates(ruled.select("host", "path", "bad", "reach"), deepest)
+    judged = stored(judge_templates(paths, deepest), "judged")
+    discard(paths)
+    judged = judged.withColumnRenamed("host", "g_host").withColumnRenamed("segments", "g_segments")
+    shaped = ruled.withColumn("segments", _segments(F.col("path")))
     out = shaped.join(judged, (shaped["host"] == judged["g_host"]) & (shaped["segments"] == judged["g_segments"]), "left")
     by_template = F.when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", by_template).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -65,6 +68,117 @@ def test_impure_templates_are_rejected(site):
     assert {r["verdict"] for i, r in got.items() if "casino" in rows[i][0]} == {"block"}
 
 
+def test_wildcards_continue_below_wildcards(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(5))
+    rows = [(f"http://s.x/user/{word()}/post/{word()}", None) for _ in range(300)] + [(f"http://s.x/item/{word()}", None) for _ in range(300)]
+    rows += [("http://s.x/item/popular", None)] * 301
+    got = labelled(spark, rows)
+    assert {r["template"] for i, r in got.items() if "/user/" in rows[i][0]} == {"/user/*/post/*"}
+    assert {r["template"] for i, r in got.items() if "/item/" in rows[i][0]} == {"/item/*", "/item/popular"}
+
+
+def plain_templates(pages):
+    """host and segments -> template, level by level in plain Python; pages: (host, segments)."""
+    above = dict.fromkeys(pages, "")
+    for level in range(max((len(s) for _, s in pages), default=0)):
+        kids = defaultdict(Counter)
+        for (h, s), n in pages.items():
+            if level < len(s):
+                kids[h, above[h, s]][s[level]] += n
+        for h, s in pages:
+            if level < len(s):
+                c = kids[h, above[h, s]]
+                n = c[s[level]]
+                same = [m for m in c.values() if m <= n]
+                part = "*" if len(same) ** 2 > sum(same) and n * n < sum(same) else s[level]
+                above[h, s] += "/" + part
+    return above
+
+
+def alike(b, k, b2, k2):
+    m = (b + b2) / (k + k2)
+    return abs(b / k - b2 / k2) <= ut.Z * math.sqrt(m * (1 - m) * (1 / k + 1 / k2))
+
+
+def plain_verdicts(rows):
+    """Verdict, template and purity of (url, label) rows without rules."""
+    shape = lambda x: re.sub("[0-9]+", "{n}", re.sub(r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{12,}\b", "{hash}", x))
+    pages, bad, known, keys = Counter(), Counter(), Counter(), []
+    for u, y in rows:
+        host, path, *_ = plain(u)
+        parts = re.sub("^/", "", path).split("/")
+        if len(parts) > ut.DEPTH:
+            parts = [*parts[: ut.DEPTH - 1], "/".join(parts[ut.DEPTH - 1 :])]
+        key = (host, tuple(map(shape, parts)))
+        keys.append(key)
+        pages[key] += 1
+        y = y if y is not None else 1 if re.search(ut.SEEDS, host) else None
+        if y is not None:
+            known[key] += 1
+            bad[key] += y
+    above = plain_templates(pages)
+    node_bad, node_known, chains, ups = Counter(), Counter(), {}, {}
+    for (h, s), t in above.items():
+        chain = [(h, "")] + [(h, "".join(re.findall("/[^/]*", t)[: k + 1])) for k in range(len(re.findall("/[^/]*", t)))] + [(h, t + "#")]
+        chains[h, t] = chain
+        for up, x in zip([None, *chain], chain):
+            ups[x] = (h, "^") if up is None else up
+            node_bad[x] += bad[h, s]
+            node_known[x] += known[h, s]
+    family = defaultdict(list)
+    for x, up in ups.items():
+        if node_known[x]:
+            family[up].append(x)
+    pooled = {}
+    for up, xs in family.items():
+        all_b, all_k = sum(node_bad[x] for x in xs), sum(node_known[x] for x in xs)
+        sided = defaultdict(list)
+        for x in xs:
+            b, k = node_bad[x], node_known[x]
+            rb, rk = all_b - b, all_k - k
+            side = 0 if not rk or alike(b, k, rb, rk) else (1 if b / k > rb / rk else -1)
+            sided[side, b / k if side else 0.0].append(x)
+        groups = []
+        for (side, share), ys in sorted(sided.items()):
+            b, k = sum(node_bad[y] for y in ys), sum(node_known[y] for y in ys)
+            if groups and groups[-1][0] == side and alike(groups[-1][1], groups[-1][2], b, k):
+                groups[-1] = (side, groups[-1][1] + b, groups[-1][2] + k, groups[-1][3] + ys)
+            else:
+                groups.append((side, b, k, ys))
+        for _, b, k, ys in groups:
+            pooled |= dict.fromkeys(ys, (b, k))
+    base = min((sum(bad.values()) + 1) / (sum(known.values()) + 2), 0.5)
+    out = {}
+    for (h, t), chain in chains.items():
+        p = base
+        for x, below in zip(chain, [*chain[1:], None]):
+            b, k = pooled.get(x, (0, 0))
+            # what the next level holds of this pool: its own pool, as all labels count at every depth
+            ub, uk = pooled.get(below, (0, 0))
+            p = (b - ub + ut.PRIOR * p) / (k - uk + ut.PRIOR)
+        out[h, t] = p
+    return [(above[key], out[key[0], above[key]]) for key in keys]
+
+
+def test_every_verdict_matches_a_plain_version(spark):
+    rng = random.Random(7)
+    rows = []
+    for h in range(25):
+        host = rng.choice(["casino-", "", "", ""]) + f"h{h}.x"
+        for _ in range(rng.choice([1, 3, 30, 200])):
+            path = "/".join(rng.choice(["a", "b", "news", "item", f"{rng.randrange(50)}", f"w{rng.choice('abcdefgh')}{rng.choice('klmnop')}q"]) for _ in range(rng.randrange(0, 5)))
+            label = rng.choice([None, None, 0, int("news" in path), int("a" in path and h % 3 == 0)])
+            rows.append((f"http://{host}/{path}", label))
+    rows += [("http://deep.x/" + "/".join(f"d{k}" for k in range(40)), 1)] * 3
+    want = plain_verdicts(rows)
+    for i, r in labelled(spark, rows).items():
+        template, purity = want[i]
+        assert r["template"] == template, rows[i]
+        assert r["purity"] == pytest.approx(purity, abs=1e-5), rows[i]
+        assert r["verdict"] == ("block" if purity >= ut.LIMIT else "allow")
+
+
 def test_odd_rows(spark):
     from tests.llm.conftest import CLASH, with_clashes
 
