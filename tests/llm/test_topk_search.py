@@ -42,7 +42,7 @@ def test_brute_force_with_ties_nulls_and_repeats(spark, dim):
     rows = [(i, [rng.choice([-1.0, -0.5, 0.25, 1.0, rng.random()]) for _ in range(dim)]) for i in range(300)]
     rows += [(300 + i, [1.0] * dim) for i in range(40)] + rows[:60]
     rows += [(400, None), (450, [None] * dim), (500, [float("nan")] * dim), (501, [float("inf")] * dim), (None, [1.0] * dim), (550, [1.0] * (dim + 1)), (600, [])]
-    assert run(spark, rows, query_block=3, candidate_block=64) == brute(rows)
+    assert run(spark, rows, block_bytes=3 * 8 * (dim + 1), candidate_block=64) == brute(rows)
 
 
 def test_large_components_stay_exact(spark):
