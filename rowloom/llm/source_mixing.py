@@ -126,7 +126,7 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, *, share: float = 0.5, weights: dict[str, float] | None = None, max_epochs: int = 2, seed: int = SEED,
                  domain: Column | None = None, domains: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source"):
-        self.seed, self.id_col, self.text = seed, id_col, text
+        self.seed, self.id_col, self.text, self.max_epochs = seed, id_col, text, max_epochs
         if domain is None:
             named = F.create_map(*[F.lit(x) for pair in (domains or {}).items() for x in pair]) if domains else F.lit(None).cast("map<string,string>")
             domain = F.coalesce(F.try_element_at(named, F.coalesce(F.col(source), F.lit(""))), default_domain(F.col(source)))
@@ -164,9 +164,10 @@ class Mixture:
         early = placed.where("range < cut")
         late = placed.where("range >= cut and full > 0")
         e = self.ends.select([F.col(c).alias(f"e_{c}") for c in self.ends.columns])
-        tail = placed.where("range = cut")
+        tail = placed.where("range = cut").where(F.col("full") < self.max_epochs)
         tail = tail.join(e, [tail[c] == e[f"e_{c}"] for c in self.ends.columns], "left_semi")
-        return [(early, F.lit(0), F.col("full") + 1), (late, F.lit(0), F.col("full")), (tail, F.col("full"), F.lit(1))]
+        # a leaf that is used up has no further epoch, even for texts without tokens
+        return [(early, F.lit(0), F.least(F.col("full") + 1, F.lit(self.max_epochs))), (late, F.lit(0), F.col("full")), (tail, F.col("full"), F.lit(1))]
 
     def _epochs(self, rows: DataFrame, cols: list[str]) -> DataFrame:
         parts = [p.select(*cols, F.explode(F.sequence(at, at + n - 1)).alias("epoch")) for p, at, n in self._parts(rows)]

@@ -91,6 +91,15 @@ def test_rows_without_ids_are_drawn_by_their_texts(spark):
     assert 196 <= len(got) <= 200 and all(got.count(t) == 2 for t in got)
 
 
+def test_texts_without_tokens_stay_within_the_epochs(spark):
+    rows = [(i, "" if i % 2 else "a b", "en", "s") for i in range(40)] + [(100 + i, None, "de", "t") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for epochs in (1, 2):
+        m = sm.Mixture(df, share=float(epochs), weights={}, max_epochs=epochs)
+        got = m.selection().groupBy("doc_id").count().collect()
+        assert len(got) == 45 and {r["count"] for r in got} == {epochs}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     m = sm.Mixture(odd_docs, share=0.9)
     assert m.selection().where("tokens < 0").count() == 0
