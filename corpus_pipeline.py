@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm import minmax_dedup, pii_boost, piece_codec, quality_mcd, source_mixing
-from rowloom.llm._shared import stored
+from rowloom.llm._shared import discard, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the remaining tokens that the mixture takes, each document once at most.
@@ -56,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = stored(docs, name.replace(" ", "-"))
+            if last is not None:
+                discard(last)
+            last = docs
     return docs

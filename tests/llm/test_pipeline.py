@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as cp
 from rowloom.llm import quality_mcd
+from rowloom.llm._shared import stored
 from rowloom.llm.text_stats import count_text
 from tests.llm.test_minmax_dedup import brute
 from tests.llm.test_pii_boost import base
@@ -11,8 +12,6 @@ from tests.llm.test_pii_boost import base
 
 @pytest.fixture(scope="module")
 def stages(spark, sf):
-    from rowloom.llm._shared import stored
-
     out = [spark.read.parquet(f"{sf}/documents.parquet")]
     for name, stage in cp.STAGES:
         out.append(stored(stage(spark, out[-1], sf), name.replace(" ", "-")))
@@ -52,3 +51,16 @@ def test_mixing_stage(stages):
 def test_encoding_stage(spark, sf, stages):
     assert set(stages[5]) == set(stages[4]) and all(r["exact"] for r in stages[5].values())
     assert {r["doc_id"]: r["ids"] for r in cp.run(spark, sf).collect()} == {i: r["ids"] for i, r in stages[5].items()}
+
+
+def test_odd_documents_pass_every_stage(spark, sf, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, from the first stage to the last."""
+    for docs in (odd_docs, no_docs):
+        for at in range(len(cp.STAGES)):  # each stage on the odd rows themselves
+            assert cp.STAGES[at][1](spark, docs, sf).count() <= docs.count()
+        out = docs
+        for name, stage in cp.STAGES:
+            out = stored(stage(spark, out, sf), name.replace(" ", "-"))
+        assert out.columns == ["doc_id", "n_tokens", "ids", "exact"]
+    kept = cp.STAGES[0][1](spark, odd_docs, sf)
+    assert kept.columns == cp.COLUMNS and {r["doc_id"] for r in kept.collect()} <= {1, 5, 6, 7, 10, 11, None}
