@@ -323,7 +323,8 @@ def _open_links(members: DataFrame, percent: int) -> DataFrame:
     least = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * (100 - percent) / percent))
     rows = rows.withColumn("prefix", F.slice("ts", F.lit(1), F.greatest(F.size("ts") - least + 1, F.lit(0)).cast("int")))
     rows = rows.where((F.col("upto") * 100 >= F.col("n") * percent) & (F.size("prefix") > 0))
-    rows = rows.select(*node, "n", "c", "upto", F.explode("prefix.t").alias("t"))
+    rows = rows.select(*node, "n", "c", "upto", F.size("d").alias("nd"), F.size("ts").alias("of"), F.posexplode("prefix.t").alias("at", "t"))
+    rows = rows.withColumn("left", F.col("of") - F.col("at")).drop("of", "at")
     rows = stored(rows, "difference-index")
     x, y = (rows.select([F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "xy")
     y = y.where("y_upto >= y_n")
@@ -333,6 +334,7 @@ def _open_links(members: DataFrame, percent: int) -> DataFrame:
         & (F.col("y_n") <= F.least("x_n", "x_upto"))
         & (F.col("x_n") <= F.col("y_upto"))
         & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+        & (2 * F.least("x_left", "y_left") * (100 + percent) >= (F.col("x_nd") + F.col("y_nd")) * (100 + percent) - (F.col("x_n") + F.col("y_n")) * (100 - percent))
     )
     ids = ["x_p_id", "x_p_th", "x_id", "x_th", "y_id", "y_th"]
     pairs = x.join(y, meet & may).select(*ids).distinct()
