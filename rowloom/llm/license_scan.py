@@ -137,8 +137,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     last_words = sorted({k.split()[-1] for k in BASE})
     may_base = F.arrays_overlap("w", F.array(*map(F.lit, last_words)))
     found = [_marked(F.col("w"), p, name) for p, name in BASE.items()]
-    ends = F.array(*map(F.lit, sorted({k.split()[-1] for k in keys})))
-    marked = F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(line, F.concat(F.lit(" "), k, F.lit(" "))))
+    # a text without any key phrase's longest word needs no look at the phrases
+    longest = F.array(*map(F.lit, sorted({max(k.split(), key=lambda w: (len(w), w)) for k in keys})))
+    phrases = F.array(*map(F.lit, keys))
+    marked = F.flatten(F.transform(F.array(line), lambda x: F.filter(phrases, lambda k: F.contains(x, F.concat(F.lit(" "), k, F.lit(" "))))))
     scanned = rows.select(
         "doc_id",
         "th",
@@ -146,7 +148,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
         F.size("w").cast("long").alias("n_words"),
         F.when(may_base, F.flatten(F.array(*found))).alias("base"),
         F.array_intersect("w", words).alias("seen"),
-        F.when(F.arrays_overlap("w", ends), marked).alias("keys"),
+        F.when(F.arrays_overlap("w", longest), marked).alias("keys"),
     )
     hits = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: F.array_contains(words, x["w"]))
     scanned = stored(scanned.withColumn("hits", F.when(F.size("keys") > 0, hits)).drop("w"), "license-words")
