@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,22 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from rowloom.sources.scratch import scratch_dir
 
-    Where the session names none, a session on one machine (tests) gets a temporary
-    folder, remembered in the session; on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="rowloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +22,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     the table's real size, so that small tables are broadcast and large ones are not.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rowloom/{uuid.uuid4().hex}-{label}"
+    path = f"{scratch_dir(spark)}/rowloom/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rowloom_path = path
