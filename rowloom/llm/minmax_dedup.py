@@ -71,7 +71,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 200_000:
+        if len(self) < 50_000:
             self[word] = value
         return value
 

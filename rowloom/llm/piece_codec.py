@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm._shared import load
+from rowloom.llm._shared import load, small_batches, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -169,6 +169,12 @@ class PieceCodec:
             ids += self._segment(w[start:])
         return ids
 
+    def close(self) -> None:
+        """Forget everything: the remembered words refer to the codec, so it would outlive its task."""
+        self.known.clear()
+        self.known.encode = None
+        self.follows.clear()
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
@@ -190,23 +196,29 @@ def encode_documents(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
     table = docs.sparkSession.sparkContext.broadcast(vars(PieceTable.read(model)))
 
+    def encoded(batch: pa.RecordBatch, codec: PieceCodec) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        ids = [codec.encode(t) for t in texts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        exact = [codec.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+        columns = [batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(exact)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "exact"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(PieceTable(**table.value))
-        for batch in batches:
-            # a few rows at a time: the ids of long texts outgrow their characters
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                ids = [codec.encode(t) for t in texts]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                exact = [codec.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"]
-                )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _ENCODED)
+        try:
+            for batch in batches:
+                # a few rows at a time: the ids of long texts outgrow their characters
+                for at in range(0, batch.num_rows, 500):
+                    yield encoded(batch.slice(at, 500), codec)
+        finally:
+            codec.close()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):  # whole texts, and ids that outgrow them, in bounded batches
+        return stored(rows.mapInArrow(run, _ENCODED), "encoded")
 
 
 def decode_documents(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
